@@ -6,7 +6,7 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,6 +25,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def pieces(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices of about ``most`` bytes, so that what is made from it stays small too; a longer row stands alone."""
+    rows = max(1, int(batch.num_rows * most / max(batch.nbytes, 1)))
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def map_columns(df: DataFrame, schema: T.StructType, function: Callable[[list[pa.Array]], list], *columns: str) -> DataFrame:
     """Rows of ``columns`` through ``function``, which takes and returns whole Arrow columns, batch by batch."""
     names = [f.name for f in schema.fields]
@@ -33,7 +40,7 @@ def map_columns(df: DataFrame, schema: T.StructType, function: Callable[[list[pa
         from pyspark.sql.pandas.types import to_arrow_schema
 
         wanted = to_arrow_schema(schema)
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in pieces(whole)):
             made = function([batch.column(i) for i in range(batch.num_columns)])
             yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, wanted.field(n).type) for x, n in zip(made, names, strict=True)], schema=wanted)
 
@@ -77,26 +84,19 @@ def components(edges: DataFrame) -> DataFrame:
     return done if done is not None else left.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def running_total(df: DataFrame, group: list[str], order: list[str], bucket: Column, value: Column, name: str) -> DataFrame:
-    """``df`` with ``name``: the sum of ``value`` over the rows before this one in its ``group`` by ``bucket`` and ``order``.
+def small(df: DataFrame, rows: int, most: int = 10_000) -> DataFrame:
+    """``df`` marked for broadcast if it was counted to have at most ``most`` rows; else as it is, for a shuffled join."""
+    return F.broadcast(df) if rows <= most else df
 
-    ``bucket`` must rise with the wanted order and cut a group into pieces of bounded size; the pieces' sums are added up first, so
-    that no task ever holds a whole group. Rows with equal ``order`` keys must be equal rows or have their order left open.
-    """
-    from pyspark.sql import Window as W
-
-    df = df.withColumn("_bucket", bucket)
-    sums = df.groupBy(*group, "_bucket").agg(F.sum(value).alias("_sum"))
-    before = W.partitionBy(*group).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
-    inside = W.partitionBy(*group, "_bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    df = df.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    keys = [df[k].eqNullSafe(sums[k]) for k in (*group, "_bucket")]
-    on = keys[0]
-    for k in keys[1:]:
-        on = on & k
-    out = df.join(F.broadcast(sums), on).select(*[df[c] for c in df.columns if c not in ("_bucket", "_inside")], (df["_inside"] + sums["_before"]).alias(name))
-    return out
+
+def ranked(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
+    """``df`` with each row's place in ``order``, from 0, without bringing all rows together: sorted ranges, then their counts."""
+    held = cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    counts = held.groupBy("_part").count()
+    earlier = counts.select(F.col("_part").alias("_other"), F.col("count").alias("_n"))
+    before = counts.join(F.broadcast(earlier), F.col("_other") < F.col("_part"), "left").groupBy("_part").agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return held.withColumn(name, own).join(F.broadcast(before), "_part").withColumn(name, F.col(name) + F.col("_before")).drop("_part", "_before")
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:

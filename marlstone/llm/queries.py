@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import simhash
+from marlstone.llm import media, mixing, piece_bpe, sharding, simhash
 from marlstone.llm.common import documents
 
 
@@ -16,9 +16,70 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def piece_model() -> str:
+    """The public vocabulary file that the box offers."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = piece_bpe.encode(documents(spark, sf_dir), piece_model())
+    return found.select(
+        F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.shards(documents(spark, sf_dir), bins=16)
+    return found.select(F.col("id").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = media.text_media(documents(spark, sf_dir))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_bytes", F.length("samples").cast("long").alias("payload_bytes"), F.sha2("samples", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(samples, -64, 64)")).alias("tail_crc32"), F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"),
+        F.concat_ws(":", F.lit("dhash"), "hash", F.substring(F.sha2("tile", 256), 1, 16)).alias("feature"),
+    )
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.amounts(documents(spark, sf_dir), weights=(3, 1, 2), share=1.5, most=2.0)
+    return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+OP9_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+    CAST(CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS DOUBLE) AS w
+  FROM d GROUP BY source
+), r AS (
+  SELECT *, 2.0::DOUBLE * source_size AS cap,
+    coalesce(sum(2.0::DOUBLE * source_size) OVER (ORDER BY 2.0::DOUBLE * source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE) AS caps_before,
+    sum(w) OVER (ORDER BY 2.0::DOUBLE * source_size / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS w_left,
+    1.5::DOUBLE * (SELECT sum(source_size) FROM s) AS budget
+  FROM s
+), l AS (
+  SELECT min((budget - caps_before) / w_left) FILTER (WHERE w * ((budget - caps_before) / w_left) <= cap AND source_size > 0) AS level FROM r
+), t AS (
+  SELECT source, source_size, least(cap, w * level) AS target FROM r, l
+), p AS (
+  SELECT source, source_size, target, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM t
+), o AS (
+  SELECT d.doc_id, d.size, p.source_size, p.target, p.whole, CAST(round(p.target - p.whole * p.source_size) AS BIGINT) AS part,
+    coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5('1:' || coalesce(CAST(d.doc_id AS VARCHAR), '') || ':' || CAST(d.size AS VARCHAR)) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier
+  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
+)
+SELECT doc_id, size, source_size, target, CAST(whole * size + greatest(0, least(size, part - earlier)) AS BIGINT) AS taken FROM o
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash}
+    return {f.__name__: f for f in (op1_simhash, op5_sentencepiece, op7_sharding, op8_media, op9_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_mixing": OP9_SQL}
