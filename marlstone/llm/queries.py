@@ -63,7 +63,7 @@ WITH d AS (
     1.5::DOUBLE * (SELECT sum(source_size) FROM s) AS budget
   FROM s
 ), l AS (
-  SELECT min((budget - caps_before) / w_left) FILTER (WHERE w * ((budget - caps_before) / w_left) <= cap AND source_size > 0) AS level FROM r
+  SELECT arg_max((budget - caps_before) / w_left, w_left) FILTER (WHERE w * ((budget - caps_before) / w_left) <= cap AND source_size > 0) AS level FROM r
 ), t AS (
   SELECT source, source_size, least(cap, w * level) AS target FROM r, l
 ), p AS (
