@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import media, mixing, piece_bpe, sharding, simhash
+from marlstone.llm import linededup, media, mixing, piece_bpe, sharding, simhash
 from marlstone.llm.common import documents
 
 
@@ -16,6 +16,34 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.without_repeats(documents(spark, sf_dir)).select("doc_id", "text", "lines", "removed_lines")
+
+
+OP2_SQL = r"""
+WITH l AS (
+  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
+  FROM documents WHERE text IS NOT NULL
+), h AS (
+  SELECT *, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS v FROM l
+), e AS (
+  SELECT *, CASE WHEN i >= 2 AND (v + 31 * lag(v) OVER (PARTITION BY doc_id ORDER BY i)) % 3 = 0 THEN 1 ELSE 0 END AS ends FROM h
+), n AS (
+  SELECT *, sum(ends) OVER (PARTITION BY doc_id ORDER BY i) - ends AS chunk FROM e
+), c AS (
+  SELECT doc_id, chunk, min(i) AS first, count(*) AS lines, string_agg(line, chr(10) ORDER BY i) AS body FROM n GROUP BY doc_id, chunk
+), r AS (
+  SELECT *, lines >= 2 AND translate(body, ' ' || chr(10), '') <> '' AND row_number() OVER (PARTITION BY body, lines >= 2 ORDER BY doc_id, first) > 1 AS gone FROM c
+), d AS (
+  SELECT doc_id, coalesce(string_agg(body, chr(10) ORDER BY first) FILTER (WHERE NOT gone), '') AS text, CAST(sum(lines) AS BIGINT) AS lines,
+    CAST(coalesce(sum(lines) FILTER (WHERE gone), 0) AS BIGINT) AS removed_lines
+  FROM r GROUP BY doc_id
+)
+SELECT doc_id, text, lines, removed_lines FROM d
+UNION ALL SELECT doc_id, NULL, 0, 0 FROM documents WHERE text IS NULL
+"""
+
+
 def piece_model() -> str:
     """The public vocabulary file that the box offers."""
     import public_tokenizers
@@ -78,8 +106,8 @@ SELECT doc_id, size, source_size, target, CAST(whole * size + greatest(0, least(
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op5_sentencepiece, op7_sharding, op8_media, op9_mixing)}
+    return {f.__name__: f for f in (op1_simhash, op2_line_dedup, op5_sentencepiece, op7_sharding, op8_media, op9_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mixing": OP9_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op9_mixing": OP9_SQL}
