@@ -17,12 +17,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the folder that all executors share, so a lost executor costs nothing.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests) a temporary one is made.
+    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests) a temporary one is made. Spark would go on to
+    multiply the estimated sizes of what came before in every later join, digits doubling with each round of a loop; so the result is
+    taken up anew, without them.
     """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="marlstone-"))
-    return df.checkpoint(eager=True)
+    held = df.checkpoint(eager=True)._jdf
+    return DataFrame(df.sparkSession._jsparkSession.internalCreateDataFrame(held.queryExecution().toRdd(), held.schema(), False), df.sparkSession)
 
 
 def pieces(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
@@ -62,14 +65,14 @@ def components(edges: DataFrame) -> DataFrame:
         edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct()
     )
     done: DataFrame | None = None
-    while not left.isEmpty():
+    while left.count():
         both = left.union(left.select("b", "a"))
         point = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("root")))
         while True:
             further = point.select(F.col("node").alias("at"), F.col("root").alias("next"))
             jumped = cut(point.join(further, point.root == further["at"]).select("node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
             point = jumped.drop("moved")
-            if jumped.where("moved").isEmpty():
+            if not jumped.where("moved").count():
                 break
         ends = (point.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
         joined = left
