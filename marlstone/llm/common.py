@@ -14,16 +14,22 @@ from pyspark.sql import types as T
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def scratch(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    context = spark.sparkContext
+    if (held := context._jsc.sc().getCheckpointDir()).isEmpty():
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="marlstone-"))
+        held = context._jsc.sc().getCheckpointDir()
+    return held.get()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the folder that all executors share, so a lost executor costs nothing.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests) a temporary one is made. Spark would go on to
-    multiply the estimated sizes of what came before in every later join, digits doubling with each round of a loop; so the result is
-    taken up anew, without them.
+    Spark would go on to multiply the estimated sizes of what came before in every later join, digits doubling with each round of a
+    loop; so the result is taken up anew, without them.
     """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="marlstone-"))
+    scratch(df.sparkSession)
     held = df.checkpoint(eager=True)._jdf
     return DataFrame(df.sparkSession._jsparkSession.internalCreateDataFrame(held.queryExecution().toRdd(), held.schema(), False), df.sparkSession)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import linededup, media, mixing, piece_bpe, sharding, simhash
+from marlstone.llm import linededup, media, mixing, piece_bpe, sharding, simhash, toxicity
 from marlstone.llm.common import documents
 
 
@@ -105,8 +105,14 @@ SELECT doc_id, size, source_size, target, CAST(whole * size + greatest(0, least(
 """
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = toxicity.scores(docs, toxicity.learn(docs, documents(spark, sf_dir, "labels")))
+    return found.select(F.col("id").alias("doc_id"), toxicity.held_out("id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_line_dedup, op5_sentencepiece, op7_sharding, op8_media, op9_mixing)}
+    return {f.__name__: f for f in (op1_simhash, op2_line_dedup, op5_sentencepiece, op7_sharding, op8_media, op9_mixing, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
