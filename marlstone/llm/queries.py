@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import linededup, media, mixing, piece_bpe, sharding, simhash, toxicity
+from marlstone.llm import embedjoin, linededup, media, mixing, piece_bpe, sharding, simhash, toxicity
 from marlstone.llm.common import documents
 
 
@@ -44,6 +44,30 @@ UNION ALL SELECT doc_id, NULL, 0, 0 FROM documents WHERE text IS NULL
 """
 
 
+def op3_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embedjoin.near_duplicates(documents(spark, sf_dir, "embeddings"), least=0.95)
+    return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", "kept")
+
+
+OP3_SQL = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), u AS (
+  SELECT vec_id, e FROM v
+  WHERE e IS NOT NULL AND len(list_filter(e, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, x -> x <> 0)) > 0
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.95
+), r(vec_id, root) AS (
+  SELECT vec_id, vec_id FROM v UNION SELECT l.b, r.root FROM r JOIN l ON r.vec_id = l.a
+), c AS (
+  SELECT vec_id, min(root) AS component_id FROM r GROUP BY vec_id
+)
+SELECT c.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.component_id, c.vec_id = c.component_id AS kept
+FROM c LEFT JOIN (SELECT a, count(*) AS n FROM l GROUP BY a) n ON n.a = c.vec_id
+"""
+
+
 def piece_model() -> str:
     """The public vocabulary file that the box offers."""
     import public_tokenizers
@@ -112,8 +136,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_line_dedup, op5_sentencepiece, op7_sharding, op8_media, op9_mixing, op10_toxicity)}
+    return {f.__name__: f for f in (op1_simhash, op2_line_dedup, op3_embedding, op5_sentencepiece, op7_sharding, op8_media, op9_mixing, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2_SQL, "op9_mixing": OP9_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op3_embedding": OP3_SQL, "op9_mixing": OP9_SQL}
