@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import embedjoin, linededup, media, mixing, piece_bpe, sharding, simhash, toxicity
+from marlstone.llm import embedjoin, linededup, lm, media, mixing, piece_bpe, sharding, simhash, toxicity
 from marlstone.llm.common import documents
 
 
@@ -54,7 +54,7 @@ WITH RECURSIVE v AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
 ), u AS (
   SELECT vec_id, e FROM v
-  WHERE e IS NOT NULL AND len(list_filter(e, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, x -> x <> 0)) > 0
+  WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
 ), l AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
   WHERE list_cosine_similarity(a.e, b.e) >= 0.95
@@ -82,6 +82,10 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sharding.shards(documents(spark, sf_dir), bins=16)
     return found.select(F.col("id").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -136,7 +140,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_line_dedup, op3_embedding, op5_sentencepiece, op7_sharding, op8_media, op9_mixing, op10_toxicity)}
+    return {f.__name__: f for f in (op1_simhash, op2_line_dedup, op3_embedding, op5_sentencepiece, op6_lm, op7_sharding, op8_media, op9_mixing, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
