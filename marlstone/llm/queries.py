@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import embedjoin, linededup, lm, media, mixing, piece_bpe, sharding, simhash, toxicity
+from marlstone.llm import embedjoin, linededup, lm, media, mixing, piece_bpe, pii, sharding, simhash, toxicity
 from marlstone.llm.common import documents
 
 
@@ -49,6 +49,15 @@ def op3_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", "kept")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts are the patterns' spans; the field's stand in ``spans`` and are counted in ``n_added``."""
+    docs = documents(spark, sf_dir)
+    found = pii.find(docs, pii.learn(docs))
+    said = lambda c: F.concat_ws(",", F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(said("base"), 256).alias("base_sha256"), said("spans").alias("spans"), (F.size("spans") - F.size("base")).cast("long").alias("n_added"))
+
+
 OP3_SQL = r"""
 WITH RECURSIVE v AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
@@ -140,7 +149,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_line_dedup, op3_embedding, op5_sentencepiece, op6_lm, op7_sharding, op8_media, op9_mixing, op10_toxicity)}
+    return {f.__name__: f for f in (op1_simhash, op2_line_dedup, op3_embedding, op4_pii, op5_sentencepiece, op6_lm, op7_sharding, op8_media, op9_mixing, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
