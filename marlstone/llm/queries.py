@@ -54,7 +54,8 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     found = pii.find(docs, pii.learn(docs))
     said = lambda c: F.concat_ws(",", F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    of_kind = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind))
+    counts = [of_kind(k).cast("long").alias(f"n_{k}") for k in pii.KINDS]
     return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(said("base"), 256).alias("base_sha256"), said("spans").alias("spans"), (F.size("spans") - F.size("base")).cast("long").alias("n_added"))
 
 
