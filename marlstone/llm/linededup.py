@@ -55,7 +55,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = cut(found.join(small(again, again.count(), SENT), ["hash", "chars"], "left_semi").select("id", "mark", "first", "hash", "body"))
     # Equal hashes have brought the candidates here; from now on their bytes decide.
     place = F.struct("id", "mark", "first")
-    kept = found.groupBy("hash", "body").agg(F.min(place).alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    kept = cut(found.groupBy("hash", "body").agg(F.min(place).alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
     gone = found.join(kept, ["hash", "body"]).where(place != F.col("kept"))
     gone = cut(gone.groupBy("id", "mark").agg(F.collect_set("first").alias("gone")))
     held = docs.drop("lines", "removed_lines").withColumn("_mark", F.xxhash64(text))
