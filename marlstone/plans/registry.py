@@ -4,12 +4,553 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from marlstone.functions import anchors as anchor_time
+from marlstone.functions import numeric as num
+from marlstone.operators import audit, graph, ledger, scoring, serving, signals, stats
+from marlstone.plans.statements import STATEMENTS
+from marlstone.plans.world import AS_OF, World
+from marlstone.sources import pages, sinks
+
+WEIGHTS = {"S1": 1.0, "S2": 1.0, "S3": 1.0, "S4": 1.0, "S5": 1.0, "S6": 1.0, "S7": 1.0, "S8": 1.0}
+Make = Callable[[World], DataFrame]
+MADE: dict[str, Make] = {}
+
+
+def query(make: Make) -> Make:
+    MADE[make.__name__] = make
+    return make
+
+
+def rounded(df: DataFrame, *columns: str, places: int = 9) -> DataFrame:
+    """Logarithms and their like differ in the last bit from engine to engine."""
+    return df.withColumns({c: F.round(c, places) for c in columns})
+
+
+def signal(df: DataFrame) -> DataFrame:
+    return rounded(df.select("scope", "wallet", "raw", "component", "na"), "raw", "component")
+
+
+def events(w: World) -> DataFrame:
+    """The stream table as buys: users are wallets, event types tokens."""
+    return w.t("events").select(F.col("user_id").alias("wallet"), F.col("event_type").alias("market"), F.col("event_type").alias("token"), num.seconds("ts").alias("sec"), "value", "props", "event_id")
+
+
+def found(w: World) -> dict[str, DataFrame]:
+    edges = graph.first_hop(w.transfers, w.users, w.stops, w.block)
+    state = graph.lookup_state(w.lookups, w.seen, w.block)
+    held = signals.bets(w.early, w.scopes, w.tokens, w.markets)
+    return {
+        "S1": signals.fresh(w.early, w.scopes, w.users, w.profiles, w.flags, w.p),
+        "S2": signals.concentration(w.early, w.scopes, w.users, w.profiles, w.p),
+        "S3": signals.low_odds(w.early, w.scopes, w.p),
+        "S4": signals.before_event(w.early, w.scopes, w.tokens, w.markets, w.anchors, w.p),
+        "S5": signals.improbable(held, w.p),
+        "S6": signals.linked_by_activity(w.users, w.profiles, graph.partners(edges, state, 31), graph.own_records(w.expansions, w.transfers, AS_OF, w.block), 31, w.p),
+        "S7": signals.together(w.early, w.scopes, w.p),
+        "S8": signals.exits(w.early, w.scopes, w.users, w.tokens, w.markets, w.profiles, w.redeems, w.after, w.p),
+    }
+
+
+def simple_dense(w: World) -> DataFrame:
+    """All wallets and signals, with the three signals that SQL states in full."""
+    own = {k: v for k, v in found(w).items() if k in ("S2", "S3", "S7")}
+    return signals.dense(w.users, own)
+
+
+@query
+def scan_filter(w: World) -> DataFrame:
+    return w.early.where("walk = 'all' AND side = 'BUY'").where(F.col("price") < num.money(0.2)).select("wallet", "market", "sec", num.stake().cast("double").alias("stake"), "l_orderkey", "l_linenumber")
+
+
+@query
+def scope_map(w: World) -> DataFrame:
+    return w.scopes
+
+
+@query
+def universe_prefilter(w: World) -> DataFrame:
+    return w.users
+
+
+@query
+def s1_freshness(w: World) -> DataFrame:
+    return signal(found(w)["S1"])
+
+
+@query
+def s2_concentration(w: World) -> DataFrame:
+    return signal(found(w)["S2"])
+
+
+@query
+def s3_low_price_stake(w: World) -> DataFrame:
+    return signal(found(w)["S3"])
+
+
+@query
+def s4_lead_window(w: World) -> DataFrame:
+    return signal(found(w)["S4"])
+
+
+@query
+def s5_bets(w: World) -> DataFrame:
+    return rounded(signals.bets(w.early, w.scopes, w.tokens, w.markets), "entry")
+
+
+@query
+def s5_tail(w: World) -> DataFrame:
+    return signal(found(w)["S5"])
+
+
+@query
+def s5_reasons(w: World) -> DataFrame:
+    return found(w)["S5"].where("na IS NOT NULL").select("scope", "wallet", "na", "evidence")
+
+
+@query
+def s6_links_v2(w: World) -> DataFrame:
+    return signal(signals.linked_by_fan(w.users, w.profiles, w.transfers, w.stops, w.flags, w.p))
+
+
+@query
+def s6_links_v3(w: World) -> DataFrame:
+    return signal(found(w)["S6"])
+
+
+@query
+def s6_counts(w: World) -> DataFrame:
+    return signals.linked_counts(found(w)["S6"])
+
+
+@query
+def s6_inbound_only(w: World) -> DataFrame:
+    edges = graph.first_hop(w.transfers, w.users, w.stops, w.block)
+    state = graph.lookup_state(w.lookups, w.seen, w.block)
+    return graph.partners(edges, state, 31, ("in",))
+
+
+@query
+def s6_path_flags(w: World) -> DataFrame:
+    return w.flags
+
+
+@query
+def s7_co_timing(w: World) -> DataFrame:
+    return signal(found(w)["S7"])
+
+
+@query
+def s8_exit(w: World) -> DataFrame:
+    return signal(found(w)["S8"])
+
+
+@query
+def redeem_shapes(w: World) -> DataFrame:
+    checked = w.redeems.where("sec % 7200 = 0").groupBy("wallet", "market").agg(F.lit("relay_hub").alias("shape"), (F.min("sec") % 14400 == 0).alias("decoded"))
+    return signals.resolved_shapes(w.redeems, checked)
+
+
+@query
+def signals_dense(w: World) -> DataFrame:
+    return rounded(simple_dense(w), "raw", "component").drop("evidence")
+
+
+@query
+def applied_weights(w: World) -> DataFrame:
+    applied = scoring.applied_weights(simple_dense(w), WEIGHTS)
+    return w.spark.createDataFrame(sorted(applied.items()), "signal string, weight double")
+
+
+@query
+def score_total(w: World) -> DataFrame:
+    held = simple_dense(w)
+    return rounded(scoring.scores(held, w.users, scoring.applied_weights(held, WEIGHTS)), "total", "total_passed")
+
+
+@query
+def score_override(w: World) -> DataFrame:
+    held = simple_dense(w)
+    return rounded(scoring.scores(held, w.users, scoring.applied_weights(held, scoring.overridden(WEIGHTS, {"S3": 0}))), "total", "total_passed")
+
+
+@query
+def score_recompute(w: World) -> DataFrame:
+    held = simple_dense(w)
+    applied = scoring.applied_weights(held, WEIGHTS)
+    return scoring.recompute_differences(scoring.scores(held, w.users, applied), held, applied)
+
+
+@query
+def contributions(w: World) -> DataFrame:
+    held = simple_dense(w).where("scope = 'all'")
+    return rounded(scoring.contributions(held, scoring.applied_weights(held, WEIGHTS)).select("scope", "wallet", "signal", "part"), "part")
+
+
+@query
+def pending_signals(w: World) -> DataFrame:
+    return scoring.pending(simple_dense(w))
+
+
+@query
+def shown_signals(w: World) -> DataFrame:
+    return rounded(serving.shown(simple_dense(w), w.users), "raw", "component")
+
+
+@query
+def full_scores(w: World) -> DataFrame:
+    """All eight signals end to end; each is compared with SQL by a query of its own."""
+    held = signals.dense(w.users, found(w))
+    return scoring.scores(held, w.users, scoring.applied_weights(held, WEIGHTS))
+
+
+@query
+def leaderboard(w: World) -> DataFrame:
+    held = simple_dense(w)
+    return rounded(serving.leaderboard(scoring.scores(held, w.users, scoring.applied_weights(held, WEIGHTS)), w.early), "total")
+
+
+@query
+def board_page(w: World) -> DataFrame:
+    held = simple_dense(w)
+    scored = scoring.scores(held, w.users, scoring.applied_weights(held, WEIGHTS)).where("scope = 'all'")
+    return rounded(serving.page(serving.board(scored, 0.1), 2, 25, F.col("total").desc(), "wallet").select("wallet", "total"), "total")
+
+
+@query
+def topn_per_market(w: World) -> DataFrame:
+    held = simple_dense(w)
+    return rounded(serving.top_per_market(scoring.scores(held, w.users, scoring.applied_weights(held, WEIGHTS)), 5), "total")
+
+
+@query
+def pnl_market(w: World) -> DataFrame:
+    held = ledger.profit_by_market(w.fills, w.tokens, w.markets)
+    return held.select("wallet", "market", "void", *[F.col(c).cast("double").alias(c) for c in ("cash_in", "cash_out", "payout", "profit")], "negative_net")
+
+
+@query
+def pnl_scope(w: World) -> DataFrame:
+    return ledger.profit_by_scope(ledger.profit_by_market(w.fills, w.tokens, w.markets), w.users, w.scopes)
+
+
+@query
+def trades_summary(w: World) -> DataFrame:
+    return ledger.fill_summary(w.fills, w.scopes, w.markets)
+
+
+@query
+def trades_summary_wallet(w: World) -> DataFrame:
+    return ledger.fill_summary_of_all(w.fills, w.scopes, w.markets, w.users)
+
+
+@query
+def co_timing_pairs(w: World) -> DataFrame:
+    return serving.co_timing_pairs(w.fills, w.users.where("passed AND scope LIKE 'm%'").select(F.col("scope").alias("market"), "wallet"), 86400)
+
+
+@query
+def vwap_hourly(w: World) -> DataFrame:
+    return serving.hourly_price(w.fills)
+
+
+@query
+def vwap_events(w: World) -> DataFrame:
+    held = events(w).groupBy("token", (F.floor(F.col("sec") / 3600) * 3600).alias("hour"))
+    return held.agg(F.sum(F.col("value").cast("decimal(20,6)")).cast("double").alias("value"), F.count(F.lit(1)).alias("n"))
+
+
+@query
+def market_view(w: World) -> DataFrame:
+    return serving.market_view(w.fills, w.markets)
+
+
+@query
+def holders_at_ref(w: World) -> DataFrame:
+    return serving.holders_at(w.early)
+
+
+@query
+def mean_entry(w: World) -> DataFrame:
+    return rounded(serving.mean_entry(signals.bets(w.early, w.scopes, w.tokens, w.markets)), "entry")
+
+
+@query
+def wallet_lanes(w: World) -> DataFrame:
+    return serving.lanes(w.fills)
+
+
+@query
+def thinned_prices(w: World) -> DataFrame:
+    return serving.thinned(serving.hourly_price(w.fills).groupBy("market", "hour").agg(F.sum("n").alias("n")), ["market"], "hour", 20)
+
+
+@query
+def wallet_pages(w: World) -> DataFrame:
+    return serving.wallet_page(w.fills, w.markets).select("wallet", "market", F.size("fills").alias("n"), F.size(F.filter("fills", lambda f: f["after"])).alias("n_after"))
+
+
+@query
+def shared_links(w: World) -> DataFrame:
+    naturals = w.users.where("scope = 'all' AND bypassed").select("wallet")
+    return graph.shared_links(w.transfers.join(naturals, "wallet", "left_semi"))
+
+
+@query
+def link_parity(w: World) -> DataFrame:
+    edges = graph.first_hop(w.transfers, w.users, w.stops, w.block)
+    state = graph.lookup_state(w.lookups, w.seen, w.block)
+    good = graph.lookup_set(edges).join(state, F.col("counterparty") == F.col("address")).where("complete AND activity <= 31").select("counterparty")
+    ends = edges.join(good, "counterparty")
+    links = ends.select("wallet", "counterparty").distinct().join(ends.where("natural").select("counterparty", F.col("wallet").alias("other")).distinct(), "counterparty").where("wallet <> other")
+    counted = links.join(found(w)["S6"].where("scope = 'all' AND raw IS NOT NULL").select("wallet"), "wallet", "left_semi")
+    return serving.link_parity(counted, found(w)["S6"])
+
+
+@query
+def lookup_set(w: World) -> DataFrame:
+    return graph.lookup_set(graph.first_hop(w.transfers, w.users, w.stops, w.block))
+
+
+@query
+def lookup_activity(w: World) -> DataFrame:
+    return graph.lookup_state(w.lookups, w.seen, w.block)
+
+
+@query
+def gap_free_ranges(w: World) -> DataFrame:
+    ranges = F.from_json("subranges", graph.RANGES)
+    return w.lookups.select("address", graph.gap_free(ranges, F.col("from_block"), F.col("to_block"), F.col("capped")).alias("gap_free"))
+
+
+@query
+def first_seen_cap(w: World) -> DataFrame:
+    logs = w.fills.select(F.concat(F.lit("p"), "l_partkey").alias("address"), F.concat(F.lit("p"), "l_partkey").alias("sender"), F.col("wallet").alias("receiver"), F.col("l_orderkey").alias("block"), F.col("l_linenumber").alias("log_index"))
+    return graph.capped_neighbours(logs.groupBy("address", "sender", "block", "log_index").agg(F.min("receiver").alias("receiver")), 12)
+
+
+@query
+def traced_paths(w: World) -> DataFrame:
+    edges = w.transfers.where("hop = 1").groupBy(F.col("wallet").alias("address"), "counterparty").agg(F.sum("amount").alias("amount"), F.min("first_block").alias("first_block"), F.min("log_index").alias("log_index"))
+    back = w.transfers.where("hop = 1").groupBy(F.col("counterparty").alias("address"), F.col("wallet").alias("counterparty")).agg(F.sum("amount").alias("amount"), F.min("first_block").alias("first_block"), F.min("log_index").alias("log_index"))
+    return graph.traced(edges.unionByName(back), w.bypass, w.stops, 3, 3, 40)
+
+
+@query
+def log2_histogram(w: World) -> DataFrame:
+    return graph.activity_histogram(graph.lookup_state(w.lookups, w.seen, w.block))
+
+
+@query
+def knee_g(w: World) -> DataFrame:
+    return w.spark.createDataFrame([graph.knee(log2_histogram(w))], "g int, fullest int")
+
+
+@query
+def block_before(w: World) -> DataFrame:
+    blocks = w.t("orders").select(num.seconds("o_orderdate").alias("sec"), F.col("o_orderkey").alias("block"))
+    return graph.block_before(blocks, w.markets.select(F.col("market").alias("id"), F.col("resolved").alias("sec")))
+
+
+def label_rows(w: World) -> DataFrame:
+    docs = w.t("documents").select("doc_id", "n_chars")
+    return w.t("labels").join(docs, "doc_id").select(F.col("doc_id").cast("string").alias("wallet"), F.col("quality").alias("label"), F.col("n_chars").cast("double").alias("score"), (F.col("doc_id") % 40).cast("string").alias("unit"))
+
+
+@query
+def auc(w: World) -> DataFrame:
+    return rounded(stats.auc(label_rows(w), []), "auc")
+
+
+@query
+def weight_grid(w: World) -> DataFrame:
+    grid = stats.weight_grid(["S2", "S3", "S7"])
+    return w.spark.createDataFrame([(c, s, v) for c, own in grid.items() for s, v in own.items()], "config string, signal string, weight double")
+
+
+def config_totals(w: World) -> DataFrame:
+    held = simple_dense(w).where("scope = 'all'").groupBy("wallet").agg(*[F.max(F.when(F.col("signal") == s, F.col("component"))).alias(s) for s in signals.SIGNALS])
+    key = F.substring("wallet", 2, 20).cast("long")
+    held = held.withColumns({"label": (key % 3 == 0).cast("int"), "unit": (key % 60).cast("string")})
+    return stats.totals_by_config(held, stats.weight_grid(["S2", "S3", "S7"]))
+
+
+@query
+def weight_grid_auc(w: World) -> DataFrame:
+    return rounded(stats.auc(config_totals(w), ["config"]), "auc", places=6)
+
+
+@query
+def bootstrap_quantile(w: World) -> DataFrame:
+    return stats.bootstrap(config_totals(w), 40, 1)
+
+
+@query
+def quantiles(w: World) -> DataFrame:
+    held = w.fills.groupBy("market").agg(F.sort_array(F.collect_list("sec")).alias("v"))
+    return held.select("market", stats.quantile(F.col("v"), 0.05).alias("p05"), stats.quantile_up(F.col("v"), 0.9).alias("p90"), stats.quartile(F.col("v"), 1).alias("q1"), stats.quartile(F.col("v"), 3).alias("q3"))
+
+
+@query
+def completeness(w: World) -> DataFrame:
+    held = w.markets.select((F.substring("market", 2, 9).cast("long") % 25 != 0).alias("exercised"), F.lit(0).alias("misses"), F.lit(7).alias("fills"), F.lit("v1").alias("tool"))
+    return rounded(stats.completeness(held), "rate_p95", "unexercised")
+
+
+@query
+def cost_projection(w: World) -> DataFrame:
+    return stats.projection(w.t("lineitem").where("l_linenumber = 1"), ["l_returnflag"], "l_quantity", 100).select(F.col("l_returnflag").alias("flag"), F.round("mean", 6).alias("mean"), "p50", "p90")
+
+
+@query
+def shuffle_ts(w: World) -> DataFrame:
+    held = w.fills.groupBy("market", "walk", "l_orderkey", "l_linenumber").agg(F.min("sec").alias("sec"))
+    return audit.shuffled_times(held, 7, "l_orderkey", "l_linenumber")
+
+
+@query
+def except_all_both(w: World) -> DataFrame:
+    a = w.fills.where("l_linenumber <= 3").select("wallet", "market", "side")
+    b = w.fills.where("l_linenumber >= 3").select("wallet", "market", "side")
+    return audit.differences(a.withColumnRenamed("side", "fill_side"), b.withColumnRenamed("side", "fill_side"))
+
+
+@query
+def column_fingerprint(w: World) -> DataFrame:
+    return audit.fingerprints(w.t("orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"), 5000)
+
+
+@query
+def dup_key_check(w: World) -> DataFrame:
+    return audit.repeated_keys(w.t("lineitem"), "l_orderkey", "l_linenumber")
+
+
+@query
+def na_invariant(w: World) -> DataFrame:
+    return audit.broken_na(simple_dense(w)).select("scope", "wallet", "signal")
+
+
+@query
+def volume_check(w: World) -> DataFrame:
+    held = w.markets.select("market", (F.lit(1.0) * F.substring("market", 2, 9).cast("long") * 50_000).alias("volume"))
+    return audit.volume_check(w.fills, held)
+
+
+@query
+def ingest_gates(w: World) -> DataFrame:
+    held = w.markets.select("market", (F.lit(1.0) * F.substring("market", 2, 9).cast("long")).alias("volume"))
+    return audit.ingest_gates(w.fills.where("l_linenumber <= 5 OR CAST(substring(market, 2, 9) AS BIGINT) % 7 <> 0"), held)
+
+
+@query
+def recount(w: World) -> DataFrame:
+    raw = w.fills.select("market", "walk", "size")
+    return audit.recount(raw, w.fills.where("l_partkey % 200 <> 0").select("market", "walk", "size"), ["market", "walk"], "size").select("market", "walk", "raw_n", "derived_n", F.col("raw_size").cast("double").alias("raw_size"), F.col("derived_size").cast("double").alias("derived_size"))
+
+
+@query
+def anti_join(w: World) -> DataFrame:
+    return w.fills.select("wallet", "market").distinct().join(w.stops.select(F.concat(F.lit("m"), F.substring("address", 2, 9)).alias("market")), "market", "left_anti")
+
+
+@query
+def not_exists(w: World) -> DataFrame:
+    return sinks.remaining(w.t("customer").select(F.concat(F.lit("w"), "c_custkey").alias("wallet")), w.fills.where("walk = 'taker' AND price = 0"), "wallet")
+
+
+@query
+def dense_zero_fill(w: World) -> DataFrame:
+    tokens = events(w).select("token").distinct()
+    hours = w.spark.range(24).select(F.col("id").cast("int").alias("h"))
+    every = tokens.join(F.broadcast(hours))  # 24 rows a token
+    counts = events(w).groupBy("token", F.hour(F.timestamp_seconds("sec")).alias("h")).agg(F.count(F.lit(1)).alias("n"))
+    return every.join(counts, ["token", "h"], "left").select("token", "h", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query
+def json_flags(w: World) -> DataFrame:
+    k = F.get_json_object("props", "$.k").cast("int")
+    return events(w).groupBy("token").agg(F.count(F.when(F.col("props").like('%"k": 1%'), 1)).alias("liked"), F.count(F.when(k >= 50, 1)).alias("large"), F.sum(k).alias("total"))
+
+
+@query
+def upsert_latest(w: World) -> DataFrame:
+    held = w.t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.col("l_partkey") * 1_000_000 + F.col("l_suppkey") * 1000 + F.col("l_quantity").cast("long")).alias("load_seq"))
+    return pages.latest(held, ["l_orderkey", "l_linenumber"], "load_seq").select("l_orderkey", "l_linenumber", "load_seq")
+
+
+@query
+def explode_pages(w: World) -> DataFrame:
+    orders = w.t("orders").where("o_orderkey % 10 = 0").withColumn("page", F.floor(F.col("o_orderkey") / 1000))
+    trade = F.struct(F.concat(F.lit("W"), "o_custkey").alias("proxy_wallet"), F.lit("BUY").alias("side"), F.lit("t").alias("token_id"), F.lit("m").alias("condition_id"), (F.col("o_orderkey") * 1.0).alias("size"), F.lit(0.5).alias("price"), F.col("o_orderkey").alias("timestamp"), F.lit("x").alias("transaction_hash"))
+    raw = orders.groupBy("page").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", trade.alias("t")))).alias("ts")).select("page", F.to_json(F.struct(F.transform("ts", lambda x: x["t"]).alias("data"))).alias("body"))
+    return pages.trades(raw, "SNAP", "all").select("seq", "wallet", "size", "sec")
+
+
+@query
+def market_pages(w: World) -> DataFrame:
+    body = F.format_string('[{"id":"%d","conditionId":"0xA%d","question":"q","negRisk":false,"volume":"%d","clobTokenIds":"[\\"t%d\\",\\"u%d\\"]","outcomes":"[\\"Yes\\"]","outcomePrices":"[\\"%s\\",\\"0.995\\"]","events":[{"id":"e%d","title":"T"}]}]', *["s_suppkey"] * 5, F.when(F.col("s_suppkey") % 3 == 0, "0.991").otherwise("0.2"), "s_suppkey")
+    rows, tokens = pages.markets(w.t("supplier").select(body.alias("body")))
+    return rows.select("market", "event", "volume", "api_winner").join(tokens, "market")
+
+
+@query
+def chain_resolution(w: World) -> DataFrame:
+    k = F.substring("market", 2, 9).cast("long")
+    logs = w.markets.select("market", F.col("resolved").alias("sec"), k.alias("block"), F.when(k % 10 == 0, F.array(F.lit(1), F.lit(1))).when(k % 2 == 0, F.array(F.lit(1), F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1))).alias("payouts"))
+    chain = pages.resolutions(logs)
+    return chain.join(pages.last_taker_time(w.fills, chain), "market", "left").select("market", "void", "winner", "reference")
+
+
+@query
+def first_seen_transfers(w: World) -> DataFrame:
+    logs = w.transfers.select("wallet", "direction", "counterparty", (F.col("amount") * 1_000_000).cast("decimal(38,0)").cast("string").alias("raw"), F.col("first_block").alias("block"), "log_index", F.col("first_sec").alias("sec"), F.lit("x").alias("tx"), F.lit("t").alias("token"))
+    return pages.first_seen(logs).select("wallet", "direction", "counterparty", "n", "amount_raw", "first_block", "log_index")
+
+
+@query
+def profile_targets(w: World) -> DataFrame:
+    won = signals.bets(w.early, w.scopes, w.tokens, w.markets).where("scope = 'all' AND won AND NOT void")
+    return pages.targets(w.users, won).select("wallet", F.size("markets").alias("n"), F.array_join("markets", ",").alias("markets"))
+
+
+@query
+def stop_list_union(w: World) -> DataFrame:
+    infra = w.t("part").where("p_partkey % 50 = 0").select(F.concat(F.lit("P"), "p_partkey").alias("address"), F.lit("infra").alias("kind"))
+    seed = w.t("part").where("p_partkey % 20 = 0").select(F.concat(F.lit("p"), "p_partkey").alias("address"), F.lit("seed").alias("kind"))
+    return pages.stop_list(infra, seed)
+
+
+@query
+def anchor_floor(w: World) -> DataFrame:
+    units = F.array(*[F.lit(u) for u in ("second", "minute", "hour", "day", "month", "year")])
+    zones = F.array(*[F.lit(z) for z in ("UTC", "UTC+3", "+03:30", "IRST(UTC+03:30)", "-05:00", "CET", "")])
+    k = F.col("o_orderkey")
+    held = w.t("orders").select(k.alias("key"), num.seconds("o_orderdate").alias("at"), F.element_at(units, (k % 6 + 1).cast("int")).alias("unit"), F.element_at(zones, (k % 7 + 1).cast("int")).alias("zone"))
+    held = held.withColumn("at", F.col("at") + F.col("key") * 37 % 86400)
+    minutes = anchor_time.offset_minutes(F.col("zone"))
+    return held.select("key", minutes.cast("int").alias("minutes"), anchor_time.start_of_unit(F.col("at"), F.col("unit"), minutes).alias("anchor"))
+
+
+@query
+def strict_json(w: World) -> DataFrame:
+    held = w.t("customer").select("c_custkey", F.when(F.col("c_custkey") % 5 == 0, F.lit(float("inf"))).otherwise(F.col("c_custkey") / 4).alias("ratio"))
+    return sinks.json_rows(held, "c_custkey")
+
+
+@query
+def top_buyers(w: World) -> DataFrame:
+    won = w.fills.where("side = 'BUY'").join(w.tokens.join(w.markets, "market").where("outcome = winner").select("token"), "token", "left_semi")
+    sums = won.groupBy("market", "wallet").agg(F.sum("size").alias("shares"))
+    place = F.row_number().over(Window.partitionBy("market").orderBy(F.col("shares").desc(), "wallet"))
+    return sums.withColumn("place", place).where("place <= 40").select("market", "wallet", F.col("shares").cast("double").alias("shares"), "place")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: (lambda spark, sf_dir, make=make: make(World(spark, sf_dir))) for name, make in MADE.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, sql in STATEMENTS.items() if name in MADE}
