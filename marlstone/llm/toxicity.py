@@ -129,7 +129,7 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit(texts: list[str], labels: list[int], seed: int = 7, passes: int = 10, batch: int = 24, rate: float = 0.1, forget: float = 0.3) -> Classifier:
+def fit(texts: list[str], labels: list[int], seed: int = 7, passes: int = 8, batch: int = 24, rate: float = 0.1, forget: float = 0.3, hide: float = 0.5) -> Classifier:
     """A classifier from labelled texts, by Adagrad; every fifth text only sets the thresholds.
 
     Largest responses pass gradients to the one place they come from, so a step touches few rows of the table.
@@ -169,7 +169,9 @@ def fit(texts: list[str], labels: list[int], seed: int = 7, passes: int = 10, ba
         for k in range(0, len(order), batch):
             own = order[k : k + batch]
             starts = np.cumsum([0, *(len(flats[i]) for i in own[:-1])])
-            seen_words, flat = np.unique(np.concatenate([flats[i] for i in own]), return_inverse=True)
+            flat = np.concatenate([flats[i] for i in own])
+            flat = np.where(rnd.random(len(flat)) < hide, 0, flat)  # so that every telling word is learned, not the plainest alone
+            seen_words, flat = np.unique(flat, return_inverse=True)
             table = rows_of[seen_words]
             table = np.where(rnd.random(table.shape) < forget, 0, table)  # so that a word's parts learn to do without each other
             vectors = model.embed[table].sum(axis=1) / (1 - forget)
