@@ -14,14 +14,14 @@ def leaderboard(scored: DataFrame, early: DataFrame, scope: str = "all") -> Data
     hits = early.where("walk = 'all'").select("wallet", "market").distinct().groupBy("wallet").agg(F.count(F.lit(1)).alias("markets_hit"))
     own = scored.where(F.col("scope") == scope).join(hits, "wallet", "left")
     place = F.row_number().over(Window.orderBy(F.col("total").desc(), "wallet"))
-    return own.select(place.alias("rank"), "wallet", "total", "n_na", F.coalesce("markets_hit", F.lit(0)).alias("markets_hit"))
+    return own.select(place.cast("long").alias("rank"), "wallet", "total", "n_na", F.coalesce("markets_hit", F.lit(0)).alias("markets_hit"))
 
 
 def top_per_market(scored: DataFrame, n: int = 150) -> DataFrame:
     """The ``n`` best wallets of each market's scope."""
     own = scored.where("scope NOT LIKE 'event:%' AND scope <> 'all'")
     place = F.row_number().over(Window.partitionBy("scope").orderBy(F.col("total").desc(), "wallet"))
-    return own.withColumn("place", place).where(F.col("place") <= n).select(F.col("scope").alias("market"), "wallet", "total", "place")
+    return own.withColumn("place", place.cast("long")).where(F.col("place") <= n).select(F.col("scope").alias("market"), "wallet", "total", "place")
 
 
 def co_timing_pairs(fills: DataFrame, among: DataFrame, window: int = 600) -> DataFrame:

@@ -38,26 +38,33 @@ def events(w: World) -> DataFrame:
     return w.t("events").select(F.col("user_id").alias("wallet"), F.col("event_type").alias("market"), F.col("event_type").alias("token"), num.seconds("ts").alias("sec"), "value", "props", "event_id")
 
 
-def found(w: World) -> dict[str, DataFrame]:
+def links(w: World) -> DataFrame:
     edges = graph.first_hop(w.transfers, w.users, w.stops, w.block)
-    state = graph.lookup_state(w.lookups, w.seen, w.block)
-    held = signals.bets(w.early, w.scopes, w.tokens, w.markets)
-    return {
-        "S1": signals.fresh(w.early, w.scopes, w.users, w.profiles, w.flags, w.p),
-        "S2": signals.concentration(w.early, w.scopes, w.users, w.profiles, w.p),
-        "S3": signals.low_odds(w.early, w.scopes, w.p),
-        "S4": signals.before_event(w.early, w.scopes, w.tokens, w.markets, w.anchors, w.p),
-        "S5": signals.improbable(held, w.p),
-        "S6": signals.linked_by_activity(w.users, w.profiles, graph.partners(edges, state, 31), graph.own_records(w.expansions, w.transfers, AS_OF, w.block), 31, w.p),
-        "S7": signals.together(w.early, w.scopes, w.p),
-        "S8": signals.exits(w.early, w.scopes, w.users, w.tokens, w.markets, w.profiles, w.redeems, w.after, w.p),
-    }
+    partners = graph.partners(edges, graph.lookup_state(w.lookups, w.seen, w.block), 31)
+    return signals.linked_by_activity(w.users, w.profiles, partners, graph.own_records(w.expansions, w.transfers, AS_OF, w.block), 31, w.p)
+
+
+#: How each signal is made of the world's views.
+SIGNALS: dict[str, Make] = {
+    "S1": lambda w: signals.fresh(w.early, w.scopes, w.users, w.profiles, w.flags, w.p),
+    "S2": lambda w: signals.concentration(w.early, w.scopes, w.users, w.profiles, w.p),
+    "S3": lambda w: signals.low_odds(w.early, w.scopes, w.p),
+    "S4": lambda w: signals.before_event(w.early, w.scopes, w.tokens, w.markets, w.anchors, w.p),
+    "S5": lambda w: signals.improbable(signals.bets(w.early, w.scopes, w.tokens, w.markets), w.p),
+    "S6": links,
+    "S7": lambda w: signals.together(w.early, w.scopes, w.p),
+    "S8": lambda w: signals.exits(w.early, w.scopes, w.users, w.tokens, w.markets, w.profiles, w.redeems, w.after, w.p),
+}
+
+
+def dense(w: World, *names: str) -> DataFrame:
+    """Every wallet and signal, those of ``names`` computed; kept, since weights and scores both read it."""
+    return signals.dense(w.users, {s: SIGNALS[s](w) for s in names}).persist()
 
 
 def simple_dense(w: World) -> DataFrame:
-    """All wallets and signals, with the three signals that SQL states in full."""
-    own = {k: v for k, v in found(w).items() if k in ("S2", "S3", "S7")}
-    return signals.dense(w.users, own)
+    """The three signals that SQL states in a few lines."""
+    return dense(w, "S2", "S3", "S7")
 
 
 @query
@@ -77,22 +84,22 @@ def universe_prefilter(w: World) -> DataFrame:
 
 @query
 def s1_freshness(w: World) -> DataFrame:
-    return signal(found(w)["S1"])
+    return signal(SIGNALS["S1"](w))
 
 
 @query
 def s2_concentration(w: World) -> DataFrame:
-    return signal(found(w)["S2"])
+    return signal(SIGNALS["S2"](w))
 
 
 @query
 def s3_low_price_stake(w: World) -> DataFrame:
-    return signal(found(w)["S3"])
+    return signal(SIGNALS["S3"](w))
 
 
 @query
 def s4_lead_window(w: World) -> DataFrame:
-    return signal(found(w)["S4"])
+    return signal(SIGNALS["S4"](w))
 
 
 @query
@@ -102,12 +109,12 @@ def s5_bets(w: World) -> DataFrame:
 
 @query
 def s5_tail(w: World) -> DataFrame:
-    return signal(found(w)["S5"])
+    return signal(SIGNALS["S5"](w))
 
 
 @query
 def s5_reasons(w: World) -> DataFrame:
-    return found(w)["S5"].where("na IS NOT NULL").select("scope", "wallet", "na", "evidence")
+    return SIGNALS["S5"](w).where("na IS NOT NULL").select("scope", "wallet", "na", "evidence")
 
 
 @query
@@ -117,12 +124,12 @@ def s6_links_v2(w: World) -> DataFrame:
 
 @query
 def s6_links_v3(w: World) -> DataFrame:
-    return signal(found(w)["S6"])
+    return signal(SIGNALS["S6"](w))
 
 
 @query
 def s6_counts(w: World) -> DataFrame:
-    return signals.linked_counts(found(w)["S6"])
+    return signals.linked_counts(SIGNALS["S6"](w))
 
 
 @query
@@ -139,12 +146,12 @@ def s6_path_flags(w: World) -> DataFrame:
 
 @query
 def s7_co_timing(w: World) -> DataFrame:
-    return signal(found(w)["S7"])
+    return signal(SIGNALS["S7"](w))
 
 
 @query
 def s8_exit(w: World) -> DataFrame:
-    return signal(found(w)["S8"])
+    return signal(SIGNALS["S8"](w))
 
 
 @query
@@ -202,7 +209,7 @@ def shown_signals(w: World) -> DataFrame:
 @query
 def full_scores(w: World) -> DataFrame:
     """All eight signals end to end; each is compared with SQL by a query of its own."""
-    held = signals.dense(w.users, found(w))
+    held = dense(w, *SIGNALS)
     return scoring.scores(held, w.users, scoring.applied_weights(held, WEIGHTS))
 
 
@@ -289,7 +296,7 @@ def thinned_prices(w: World) -> DataFrame:
 
 @query
 def wallet_pages(w: World) -> DataFrame:
-    return serving.wallet_page(w.fills, w.markets).select("wallet", "market", F.size("fills").alias("n"), F.size(F.filter("fills", lambda f: f["after"])).alias("n_after"))
+    return serving.wallet_page(w.fills, w.markets).select("wallet", "market", F.size("fills").cast("long").alias("n"), F.size(F.filter("fills", lambda f: f["after"])).cast("long").alias("n_after"))
 
 
 @query
@@ -305,8 +312,8 @@ def link_parity(w: World) -> DataFrame:
     good = graph.lookup_set(edges).join(state, F.col("counterparty") == F.col("address")).where("complete AND activity <= 31").select("counterparty")
     ends = edges.join(good, "counterparty")
     links = ends.select("wallet", "counterparty").distinct().join(ends.where("natural").select("counterparty", F.col("wallet").alias("other")).distinct(), "counterparty").where("wallet <> other")
-    counted = links.join(found(w)["S6"].where("scope = 'all' AND raw IS NOT NULL").select("wallet"), "wallet", "left_semi")
-    return serving.link_parity(counted, found(w)["S6"])
+    counted = links.join(SIGNALS["S6"](w).where("scope = 'all' AND raw IS NOT NULL").select("wallet"), "wallet", "left_semi")
+    return serving.link_parity(counted, SIGNALS["S6"](w))
 
 
 @query
@@ -545,7 +552,7 @@ def top_buyers(w: World) -> DataFrame:
     won = w.fills.where("side = 'BUY'").join(w.tokens.join(w.markets, "market").where("outcome = winner").select("token"), "token", "left_semi")
     sums = won.groupBy("market", "wallet").agg(F.sum("size").alias("shares"))
     place = F.row_number().over(Window.partitionBy("market").orderBy(F.col("shares").desc(), "wallet"))
-    return sums.withColumn("place", place).where("place <= 40").select("market", "wallet", F.col("shares").cast("double").alias("shares"), "place")
+    return sums.withColumn("place", place.cast("long")).where("place <= 40").select("market", "wallet", F.col("shares").cast("double").alias("shares"), "place")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
