@@ -8,6 +8,7 @@ text's own words.
 from __future__ import annotations
 
 import re
+from array import array
 from dataclasses import dataclass, field
 from zlib import crc32
 
@@ -24,6 +25,7 @@ LETTERS = re.compile(r"[^\W\d_]+")
 ROWS, WIDE, WIDTHS, FILTERS = 1 << 16, 12, (1, 2, 3), 12
 #: A word's features: itself and its beginnings of these lengths.
 BEGINNINGS = (3, 4, 5, 6, 7)
+PARTS = 1 + len(BEGINNINGS)
 #: A feature of fewer training documents than this says nothing.
 LEAST_DOCS = 4
 #: Words that a worker remembers.
@@ -59,7 +61,11 @@ class Words:
     def __init__(self, limit: int | None = REMEMBERED):
         self.limit, self.held = limit, np.zeros((0, WIDE), np.float32)
         self.number: dict[str, int] = {}
-        self.rows = [[0] * (1 + len(BEGINNINGS))]
+        self.rows = array("i", [0] * PARTS)
+
+    def table(self, start: int = 0) -> np.ndarray:
+        """Feature rows of the words from number ``start`` on."""
+        return np.frombuffer(self.rows, np.int32).reshape(-1, PARTS)[start:].copy()
 
     def flat(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """The texts' words in a row as numbers, gaps after each as wide as the widest filter needs, and where each text starts."""
@@ -71,8 +77,8 @@ class Words:
             starts.append(len(out))
             for w in words:
                 if (k := number.get(w)) is None:
-                    k = number[w] = len(rows)
-                    rows.append(features(w))
+                    k = number[w] = len(rows) // PARTS
+                    rows.extend(features(w))
                 out.append(k)
             out += gap
         return np.array(out, np.int64), np.array(starts, np.int64)
@@ -117,11 +123,10 @@ class Classifier:
 
     def vectors(self, known: Words) -> np.ndarray:
         """All known words' vectors, grown as words are added."""
-        held = known.held
-        if len(held) < len(known.rows):
-            more = self.embed[np.array(known.rows[len(held) :], np.int64)].sum(axis=1)
-            known.held = held = np.concatenate([held, more])
-        return held
+        new = known.table(len(known.held))
+        if len(new):
+            known.held = np.concatenate([known.held, *(self.embed[new[k : k + 20_000]].sum(axis=1) for k in range(0, len(new), 20_000))])
+        return known.held
 
     def scores(self, texts: list[str | None], known: Words) -> np.ndarray:
         words = [LETTERS.findall((t or "").lower()) for t in texts]
@@ -135,11 +140,16 @@ def fit(texts: list[str], labels: list[int], seed: int = 7, passes: int = 8, bat
     Largest responses pass gradients to the one place they come from, so a step touches few rows of the table.
     """
     rnd = np.random.default_rng(seed)
-    words = [LETTERS.findall(t.lower()) for t in texts]
     y = np.array(labels, np.float32)
+    known, flats, langs = Words(limit=None), [], []
+    for t in texts:  # a text's words are numbers at once: as strings they would fill the driver
+        words = LETTERS.findall(t.lower())
+        flats.append(known.flat([words])[0].astype(np.int32))
+        langs.append(language(words))
+    rows_of = known.table()
     counts = np.zeros(ROWS, np.int32)
-    for own in words:
-        counts[list({f for w in set(own) for f in features(w)})] += 1
+    for flat in flats:
+        counts[np.unique(rows_of[np.unique(flat)])] += 1
     kept = (counts >= LEAST_DOCS).astype(np.float32)[:, None]
     kept[0] = 0
     n_slots, n_out = len(slots()), len(WIDTHS) * FILTERS
@@ -160,9 +170,6 @@ def fit(texts: list[str], labels: list[int], seed: int = 7, passes: int = 8, bat
         sums[which][at] += gradient**2
         value[at] -= rate * gradient / np.sqrt(sums[which][at])
 
-    known = Words(limit=None)
-    flats = [known.flat([own])[0] for own in words]
-    rows_of = np.array(known.rows, np.int64)
     weight = np.where(y == 1, min(4.0, (y == 0).sum() / (y == 1).sum()), 1.0).astype(np.float32)
     for _ in range(passes):
         order = rnd.permutation(train)
@@ -198,10 +205,13 @@ def fit(texts: list[str], labels: list[int], seed: int = 7, passes: int = 8, bat
             total = np.zeros((len(unique), WIDE), np.float32)
             np.add.at(total, back_to, np.repeat(of_word[moved], table.shape[1], axis=0))
             step(0, unique, total * kept[unique])
-    known = Words()
     check = np.flatnonzero(held_out)
-    z = np.concatenate([model.logits([words[i] for i in check[k : k + 64]], known) for k in range(0, len(check), 64)])
-    langs = np.array([language(words[i]) for i in check])
+    vectors = model.vectors(known)
+    z = []
+    for k in range(0, len(check), 64):
+        own = [flats[i] for i in check[k : k + 64]]
+        z.append(model.pooled(vectors, np.concatenate(own), np.cumsum([0, *map(len, own[:-1])])) @ model.out[:-1] + model.out[-1])
+    z, langs = np.concatenate(z), np.array(langs)[check]
     model.shift = {"": threshold(z, y[check])} | {lang: threshold(z[langs == lang], y[check][langs == lang]) for lang in FREQUENT}
     return model
 
