@@ -59,6 +59,7 @@ SIGNALS: dict[str, Make] = {
 
 def dense(w: World, *names: str) -> DataFrame:
     """Every wallet and signal, those of ``names`` computed; kept, since weights and scores both read it."""
+    w.keep()
     return signals.dense(w.users, {s: SIGNALS[s](w) for s in names}).persist()
 
 

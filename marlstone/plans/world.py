@@ -75,7 +75,12 @@ class World:
 
     @cached_property
     def users(self) -> DataFrame:
-        return universe.universe(self.fills, self.early, self.scopes, self.bypass, self.p)
+        # Kept: nearly every view reads it, most several times.
+        return universe.universe(self.fills, self.early, self.scopes, self.bypass, self.p).persist()
+
+    def keep(self) -> None:
+        """Keep the fills too, for plans that read them many times."""
+        self.fills = self.fills.persist()
 
     @cached_property
     def profiles(self) -> DataFrame:

@@ -18,20 +18,24 @@ def pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("body"))
 
 
-def trades(raw: DataFrame, snapshot: str, walk: str) -> DataFrame:
-    """Trade rows of pages (``page``, ``body``) in page order, ``seq`` counting through all pages; equal rows all stay."""
-    held = raw.select("page", F.posexplode(F.from_json("body", TRADE_PAGE)["data"]).alias("pos", "t"))
+def with_offset(held: DataFrame) -> DataFrame:
+    """``held`` with ``before``: how many rows the earlier pages have. Only the pages' counts are ordered together."""
     counts = held.groupBy("page").agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("page").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    held = held.join(counts.select("page", before.alias("before")), "page")
+    return held.join(counts.select("page", before.alias("before")), "page")
+
+
+def trades(raw: DataFrame, snapshot: str, walk: str) -> DataFrame:
+    """Trade rows of pages (``page``, ``body``) in page order, ``seq`` counting through all pages; equal rows all stay."""
+    held = with_offset(raw.select("page", F.posexplode(F.from_json("body", TRADE_PAGE)["data"]).alias("pos", "t")))
     return held.select(F.lit(snapshot).alias("snapshot"), (F.col("before") + F.col("pos")).cast("int").alias("seq"), F.lit(walk).alias("walk"), F.col("t.condition_id").alias("market"), F.col("t.token_id").alias("token"), F.lower("t.proxy_wallet").alias("wallet"), F.col("t.side").alias("side"), F.col("t.size").alias("size"), F.col("t.price").alias("price"), F.col("t.timestamp").alias("sec"), F.col("t.transaction_hash").alias("tx"))
 
 
 def holders(raw: DataFrame, snapshot: str) -> DataFrame:
     """Holders of each token of the pages; ``seq`` counts within the snapshot."""
     held = raw.select("page", F.posexplode(F.from_json("body", HOLDER_PAGE)["data"]).alias("i", "t")).select("page", "i", "t.token_id", F.posexplode("t.holders").alias("j", "h"))
-    seq = F.row_number().over(Window.orderBy("page", "i", "j")) - 1
-    return held.select(F.lit(snapshot).alias("snapshot"), seq.alias("seq"), F.col("token_id").alias("token"), F.lower("h.proxy_wallet").alias("wallet"), F.col("h.amount").alias("amount"), F.col("h.outcome_index").alias("outcome"))
+    held = with_offset(held.withColumn("pos", F.row_number().over(Window.partitionBy("page").orderBy("i", "j")) - 1))
+    return held.select(F.lit(snapshot).alias("snapshot"), (F.col("before") + F.col("pos")).cast("int").alias("seq"), F.col("token_id").alias("token"), F.lower("h.proxy_wallet").alias("wallet"), F.col("h.amount").alias("amount"), F.col("h.outcome_index").alias("outcome"))
 
 
 def json_list(c: str | Column) -> Column:
