@@ -72,37 +72,32 @@ SCORED = (
 )
 """
 )
-FLAGS = """, prof AS (
-  SELECT DISTINCT wallet FROM users WHERE profiled
-), ex AS (
-  SELECT e.* FROM expansions e JOIN prof USING (wallet)
-), node AS (
-  SELECT *, status = 'ok' AND coalesce(gap_free, false) AND coalesce(to_block_ts, 0) >= 1009843200 AS whole FROM ex WHERE status <> 'hub'
-), hub AS (
-  SELECT * FROM ex WHERE status = 'hub'
-), tr AS (
-  SELECT t.* FROM transfers t JOIN prof USING (wallet)
-), fan AS (
-  SELECT counterparty FROM tr GROUP BY 1 HAVING count(DISTINCT wallet) > 25
-), broken AS (
-  SELECT wallet FROM node WHERE NOT whole
-  UNION SELECT wallet FROM tr WHERE selected AND hop < 2 AND NOT EXISTS (SELECT 1 FROM ex WHERE ex.wallet = tr.wallet AND ex.direction = tr.direction AND ex.hop = tr.hop + 1 AND ex.address = tr.counterparty)
-  UNION SELECT wallet FROM prof WHERE NOT EXISTS (SELECT 1 FROM ex WHERE ex.wallet = prof.wallet AND ex.hop = 1)
-), cand AS (
-  SELECT tr.* FROM tr
-  WHERE hop < 2 AND first_sec < 1009843200 AND NOT coalesce(stop_listed, false) AND counterparty <> wallet
-    AND EXISTS (SELECT 1 FROM node x WHERE x.wallet = tr.wallet AND x.direction = tr.direction AND x.hop = tr.hop AND x.address = tr.via AND x.whole)
-    AND NOT EXISTS (SELECT 1 FROM stops s WHERE s.address = tr.counterparty) AND NOT EXISTS (SELECT 1 FROM fan f WHERE f.counterparty = tr.counterparty)
-    AND NOT EXISTS (SELECT 1 FROM hub h WHERE h.wallet = tr.wallet AND h.direction = tr.direction AND h.hop = tr.hop + 1 AND h.address = tr.counterparty)
-), foll AS (
-  SELECT c.wallet, c.direction, c.hop, c.via, coalesce(c.selected, false) AND coalesce(n.whole, false) AND (coalesce(n.has_child_edges, false) OR coalesce(n.n_logs = 0, false)) AS followed
-  FROM cand c LEFT JOIN node n ON n.wallet = c.wallet AND n.direction = c.direction AND n.hop = c.hop + 1 AND n.address = c.counterparty
-), cut_off AS (
-  SELECT DISTINCT wallet FROM (SELECT wallet FROM foll GROUP BY wallet, direction, hop, via HAVING count(*) > 3 OR bool_or(NOT followed))
+FLAGS = """, records AS (
+  SELECT e.*, e.status = 'ok' AND e.gap_free AND e.to_block_ts >= 1009843200 AS whole
+  FROM expansions e SEMI JOIN (SELECT wallet FROM users WHERE profiled) USING (wallet)
+), shares AS (
+  SELECT t.counterparty, count(DISTINCT t.wallet) AS wallets FROM transfers t SEMI JOIN (SELECT wallet FROM users WHERE profiled) USING (wallet) GROUP BY 1
+), judged AS (
+  SELECT t.wallet, t.direction, t.via, t.selected, child.status AS next_status,
+    t.first_sec < 1009843200 AND NOT t.stop_listed AND t.counterparty <> t.wallet AND stops.address IS NULL AND s.wallets <= 25 AND coalesce(parent.whole AND parent.status <> 'hub', false)
+      AND coalesce(child.status <> 'hub', true) AS counts,
+    t.selected AND coalesce(child.whole AND (child.has_child_edges OR child.n_logs = 0), false) AS followed
+  FROM transfers t JOIN shares s USING (counterparty)
+    LEFT JOIN records child ON child.wallet = t.wallet AND child.direction = t.direction AND child.hop = 2 AND child.address = t.counterparty
+    LEFT JOIN records parent ON parent.wallet = t.wallet AND parent.direction = t.direction AND parent.hop = 1 AND parent.address = t.via
+    LEFT JOIN stops ON stops.address = t.counterparty
+  WHERE t.hop = 1
+), by_edges AS (
+  SELECT wallet, bool_or(lost) AS lost, bool_or(narrow) AS narrow FROM (
+    SELECT wallet, bool_or(selected AND next_status IS NULL) AS lost, count(*) FILTER (WHERE counts) > 3 OR coalesce(bool_or(NOT followed) FILTER (WHERE counts), false) AS narrow FROM judged GROUP BY wallet, direction, via)
+  GROUP BY wallet
+), by_records AS (
+  SELECT wallet, bool_or(NOT whole AND status <> 'hub') AS lost, count(*) FILTER (WHERE status = 'hub') AS hubs, bool_or(hop = 1) AS begun,
+    bool_and(whole) FILTER (WHERE hop = 1 AND direction = 'in' AND address = wallet AND status <> 'hub') AS inbound
+  FROM records GROUP BY wallet
 ), flags AS (
-  SELECT p.wallet, p.wallet IN (SELECT wallet FROM broken) AS incomplete, p.wallet IN (SELECT wallet FROM cut_off) AS breadth_truncated, coalesce(h.n, 0) AS hub_capped, coalesce(i.ok, false) AS own_inbound_ok
-  FROM prof p LEFT JOIN (SELECT wallet, count(*) AS n FROM hub GROUP BY 1) h USING (wallet)
-    LEFT JOIN (SELECT wallet, bool_and(whole) AS ok FROM node WHERE hop = 1 AND direction = 'in' AND address = wallet GROUP BY 1) i USING (wallet)
+  SELECT u.wallet, coalesce(e.lost, false) OR coalesce(r.lost, false) OR NOT coalesce(r.begun, false) AS incomplete, coalesce(e.narrow, false) AS breadth_truncated, coalesce(r.hubs, 0) AS hub_capped, coalesce(r.inbound, false) AS own_inbound_ok
+  FROM (SELECT DISTINCT wallet FROM users WHERE profiled) u LEFT JOIN by_edges e USING (wallet) LEFT JOIN by_records r USING (wallet)
 )
 """
 LINKS = """, edges AS (
@@ -154,14 +149,14 @@ def signal(name: str) -> str:
     return f"SELECT scope, wallet, round(raw, 9) AS raw, round(component, 9) AS component, na FROM {name}"
 
 
-PNL = """, legs AS (
-  SELECT f.wallet, f.market, f.token, sum(CASE WHEN side = 'SELL' THEN CAST(size * price AS DECIMAL(38,16)) ELSE 0 END) AS cash_out, sum(CASE WHEN side = 'BUY' THEN CAST(size * price AS DECIMAL(38,16)) ELSE 0 END) AS cash_in,
-    sum(CASE WHEN side = 'BUY' THEN size ELSE -size END) AS net
-  FROM fills f WHERE walk = 'all' GROUP BY 1, 2, 3
+PNL = """, flows AS (
+  SELECT wallet, market, token, coalesce(sum(worth) FILTER (WHERE side = 'BUY'), 0) AS paid, coalesce(sum(worth) FILTER (WHERE side = 'SELL'), 0) AS got,
+    coalesce(sum(size) FILTER (WHERE side = 'BUY'), 0) - coalesce(sum(size) FILTER (WHERE side = 'SELL'), 0) AS held
+  FROM (SELECT *, CAST(size * price AS DECIMAL(38,16)) AS worth FROM fills WHERE walk = 'all') GROUP BY ALL
 ), pnl AS (
-  SELECT l.wallet, l.market, m.void, sum(l.cash_in) AS cash_in, sum(l.cash_out) AS cash_out, sum(CASE WHEN t.outcome = m.winner THEN l.net ELSE 0 END) AS payout,
-    CASE WHEN NOT m.void THEN sum(l.cash_out) - sum(l.cash_in) + sum(CASE WHEN t.outcome = m.winner THEN l.net ELSE 0 END) END AS profit, bool_or(l.net < 0) AS negative_net
-  FROM legs l JOIN tokens t ON t.token = l.token JOIN markets m ON m.market = l.market GROUP BY 1, 2, 3
+  SELECT wallet, market, void, cash_in, cash_out, payout, CASE WHEN NOT void THEN cash_out + payout - cash_in END AS profit, negative_net FROM (
+    SELECT x.wallet, x.market, m.void, sum(x.paid) AS cash_in, sum(x.got) AS cash_out, coalesce(sum(x.held) FILTER (WHERE t.outcome = m.winner), 0) AS payout, min(x.held) < 0 AS negative_net
+    FROM flows x JOIN tokens t ON t.token = x.token JOIN markets m ON m.market = x.market GROUP BY 1, 2, 3)
 )
 """
 HOURS = """, hours AS (
@@ -225,7 +220,7 @@ SELECT scope, wallet, CASE WHEN n = 0 THEN 'no_winner' ELSE 'n_resolved<min' END
 SELECT c.scope, c.wallet, CASE WHEN c.n >= 3 THEN round(-log10(greatest(t.pval, 1e-300)) + 0.0, 9) END AS raw, CASE WHEN c.n >= 3 THEN round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, -log10(greatest(t.pval, 1e-300)) / 6)), 9) END AS component,
   CASE WHEN c.n = 0 THEN 'no_winner' WHEN c.n < 3 THEN 'n_resolved<min' END AS na FROM cnt c LEFT JOIN tails t USING (scope, wallet)""",
     "s6_links_v2": SQL + FLAGS + """, e2 AS (
-  SELECT DISTINCT t.wallet, t.counterparty FROM transfers t JOIN prof USING (wallet) WHERE t.hop <= 2 AND t.counterparty NOT IN (SELECT address FROM stops)
+  SELECT DISTINCT t.wallet, t.counterparty FROM transfers t SEMI JOIN (SELECT wallet FROM users WHERE profiled) USING (wallet) WHERE t.hop <= 2 AND t.counterparty NOT IN (SELECT address FROM stops)
 ), l2 AS (
   SELECT * FROM e2 WHERE counterparty IN (SELECT counterparty FROM e2 GROUP BY 1 HAVING count(*) <= 25)
 ), pr AS (
