@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from marlstone.llm.common import cut, map_columns
 
 #: Text bytes of a chunk (a longer text has one for itself), and tokens whose keys one range of the hash space adds up.
-CHUNK, RANGE = 32 << 20, 4 << 20
+CHUNK, RANGE = 16 << 20, 4 << 20
 END, START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Context frequencies of 2**24 and more share a bucket; probabilities are put together in eighths of a power of two for learning.
 BUCKETS, STEPS = 26, 8
@@ -50,6 +50,20 @@ def loose(data: bytes, kind=np.uint32) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(data), kind)
 
 
+def tight(keys: np.ndarray) -> bytes:
+    """Sorted keys as the first one and the gaps after it, in as few bytes each as the widest needs."""
+    gaps = np.diff(keys)
+    width = max(1, (int(gaps.max()).bit_length() + 7) // 8) if len(gaps) else 1
+    return bytes([width]) + keys[:1].tobytes() + np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def untight(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8, offset=9).reshape(-1, data[0])
+    gaps = np.zeros((len(raw), 8), np.uint8)
+    gaps[:, : data[0]] = raw
+    return np.concatenate([np.frombuffer(data, np.uint64, 1, 1), gaps.view(np.uint64).ravel()]).cumsum(dtype=np.uint64)
+
+
 def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents (``id``, ``text``) to rows of CHUNKS: Arrow tables, compressed, the learning fold apart."""
     part, made = TaskContext.get().partitionId(), 0
@@ -103,42 +117,58 @@ class Counted:
 
     def __init__(self, ids: list, texts: list[str]):
         known: dict[bytes, int] = {}
-        digest, parts, lengths = xxhash.xxh64_intdigest, [], []
+        hashes, parts, lengths = [int(END)], [], []
+        digest, end = xxhash.xxh64_intdigest, np.zeros(1, np.int32)
         for text in texts:
             out = []
             for w in text.encode("utf-8", "replace").lower().split():
                 if (k := known.get(w)) is None:
-                    k = known[w] = digest(w)
+                    k = known[w] = len(hashes)
+                    hashes.append(digest(w))
                 out.append(k)
-            parts.append(np.array(out, np.uint64))
-            parts.append(np.array([END]))
+            parts += [np.array(out, np.int32), end]
             lengths.append(len(out) + 1)
+        del known
         self.ids, self.sides = ids, np.array([side(i) for i in ids], np.int64)
-        lengths = np.array(lengths, np.int64)
-        self.lengths, self.starts = lengths, np.cumsum(lengths) - lengths
-        words = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-        before = np.empty_like(words)
-        before[1:] = words[:-1]
-        before[self.starts] = START
+        self.lengths = np.array(lengths, np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        numbers = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        del parts
+        hashes = np.array(hashes, np.uint64)
+        train = np.repeat(self.sides != 2, self.lengths)
+        self.fold = np.repeat(self.sides == 3, self.lengths)
         self.keys, self.of, self.counts, self.in_fold = [], [], [], []
-        train = np.repeat(self.sides != 2, lengths)
-        fold = np.repeat(self.sides == 3, lengths)
-        with np.errstate(over="ignore"):
-            mixed = (before ^ (before >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + words
-            pairs = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
-        for all_keys in (words, pairs):
-            keys, of = np.unique(all_keys, return_inverse=True)
+
+        def add(keys: np.ndarray, of: np.ndarray) -> None:
             self.keys.append(keys)
-            self.of.append(of.astype(np.int32))
+            self.of.append(of)
             self.counts.append(np.bincount(of[train], minlength=len(keys)).astype(np.uint32))
-            self.in_fold.append(np.bincount(of[fold], minlength=len(keys)) > 0)
-        self.fold = fold
+            self.in_fold.append(np.bincount(of[self.fold], minlength=len(keys)) > 0)
+
+        keys, place = np.unique(hashes, return_inverse=True)
+        if len(numbers) == 0:
+            keys = keys[:0]
+        add(keys, place.astype(np.int32)[numbers])
+        words = hashes[numbers]
+        del numbers
+        pairs = np.empty_like(words)
+        pairs[1:] = words[:-1]
+        pairs[self.starts] = START
+        with np.errstate(over="ignore"):  # the hash of a pair; in place, since these are the largest arrays here
+            pairs ^= pairs >> np.uint64(29)
+            pairs *= np.uint64(0xBF58476D1CE4E5B9)
+            pairs += words
+            del words
+            pairs ^= pairs >> np.uint64(32)
+            pairs *= np.uint64(0x94D049BB133111EB)
+        keys, of = np.unique(pairs, return_inverse=True)
+        add(keys, of.astype(np.int32))
 
     def totals(self, answers) -> list[np.ndarray]:
         """Counts over all chunks: the chunk's own, but for the keys in ``answers`` (order, keys, totals)."""
         out = [c.astype(np.int64) for c in self.counts]
         for a in answers or []:
-            keys = np.frombuffer(a["keys"], np.uint64)
+            keys = untight(a["keys"])
             out[a["order"] - 1][np.searchsorted(self.keys[a["order"] - 1], keys)] = loose(a["totals"], np.int64)
         return out
 
@@ -159,13 +189,14 @@ def send(ranges: int):
 
         wanted = to_arrow_schema(SENT)
         for batch in batches:
-            for chunk, fold, rest in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for i in range(batch.num_rows):
+                chunk, fold, rest = (batch.column(k)[i].as_py() for k in range(3))
                 own = Counted(*tables(fold, rest))
                 for order, (keys, counts, in_fold) in enumerate(zip(own.keys, own.counts, own.in_fold, strict=True), 1):
                     which = (keys >> np.uint64(32)).astype(np.int64) * ranges >> 32
                     at, first = np.unique(which, return_index=True)
                     last = [*first[1:], len(keys)]
-                    rows = [(order, r, chunk, keys[a:b].tobytes(), squeezed(counts[a:b] * 2 + in_fold[a:b])) for r, a, b in zip(at.tolist(), first, last, strict=True)]
+                    rows = [(order, r, chunk, tight(keys[a:b]), squeezed(counts[a:b] * 2 + in_fold[a:b])) for r, a, b in zip(at.tolist(), first, last, strict=True)]
                     for k in range(0, len(rows), 256):
                         yield pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(zip(*rows[k : k + 256]), wanted, strict=True)], schema=wanted)
 
@@ -175,7 +206,7 @@ def send(ranges: int):
 def add_up(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
     """One range: totals of all keys, and for each chunk those that differ from its own; besides, all those of its learning fold."""
     order = int(key[0])
-    arrays = [np.frombuffer(k, np.uint64) for k in frame["keys"]]
+    arrays = [untight(k) for k in frame["keys"]]
     marks = [loose(c).astype(np.int64) for c in frame["counts"]]
     keys, of = np.unique(np.concatenate(arrays), return_inverse=True)
     own = np.concatenate(marks)
@@ -188,7 +219,7 @@ def add_up(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         differs = every != mine >> 1
         for fold, keep in ((False, differs), (True, mine & 1 == 1)):
             if keep.any():
-                out.append((chunk, fold, order, held[keep].tobytes(), squeezed(every[keep]), 0, 0))
+                out.append((chunk, fold, order, tight(held[keep]), squeezed(every[keep]), 0, 0))
     if order == 1:
         out.append((-1, False, 1, b"", b"", int(totals.sum()), int((totals > 0).sum())))
     return pd.DataFrame(out, columns=[f.name for f in BACK])
