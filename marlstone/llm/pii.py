@@ -205,8 +205,10 @@ def fit(texts: list[str], passes: int = 30, rate: float = 0.5) -> Field:
 
 def learn(docs: DataFrame, text_col: str = "text", most: int = 2000) -> Field:
     """A field from at most ``most`` different texts with a digit or an at sign, those whose hash comes first."""
-    order = F.xxhash64(text_col)
-    texts = docs.where(F.col(text_col).rlike("[0-9@]")).select(F.col(text_col).alias("t"), order.alias("o")).groupBy("o").agg(F.min("t").alias("t")).orderBy("o").limit(most)
+    # Hashes first: were texts ranked, every task would send the driver its own first ones.
+    able = docs.where(F.col(text_col).rlike("[0-9@]")).select(F.xxhash64(text_col).alias("o"), F.col(text_col).alias("t"))
+    first = docs.sparkSession.createDataFrame(able.select("o").distinct().orderBy("o").limit(most).collect(), "o long")
+    texts = able.join(F.broadcast(first), "o").groupBy("o").agg(F.min("t").alias("t")).orderBy("o")
     return fit([r["t"] for r in texts.collect()])
 
 
