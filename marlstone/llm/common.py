@@ -41,15 +41,15 @@ def pieces(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatc
         yield batch.slice(at, rows)
 
 
-def map_columns(df: DataFrame, schema: T.StructType, function: Callable[[list[pa.Array]], list], *columns: str) -> DataFrame:
-    """Rows of ``columns`` through ``function``, which takes and returns whole Arrow columns, batch by batch."""
+def map_columns(df: DataFrame, schema: T.StructType, function: Callable[[list[pa.Array]], list], *columns: str, most: int = 8 << 20) -> DataFrame:
+    """Rows of ``columns`` through ``function``, which takes and returns whole Arrow columns, about ``most`` bytes at a time."""
     names = [f.name for f in schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         wanted = to_arrow_schema(schema)
-        for batch in (piece for whole in batches for piece in pieces(whole)):
+        for batch in (piece for whole in batches for piece in pieces(whole, most)):
             made = function([batch.column(i) for i in range(batch.num_columns)])
             yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, wanted.field(n).type) for x, n in zip(made, names, strict=True)], schema=wanted)
 

@@ -20,7 +20,7 @@ from marlstone.llm.common import map_columns
 SPACE = "▁"
 CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 #: Words whose tokens a worker remembers, and how long such a word may be; forgetting them changes nothing but the time.
-REMEMBERED, REMEMBERED_CHARS = 300_000, 48
+REMEMBERED, REMEMBERED_CHARS = 120_000, 40
 
 
 def _fields(data: bytes):

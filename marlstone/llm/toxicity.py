@@ -29,7 +29,9 @@ PARTS = 1 + len(BEGINNINGS)
 #: A feature of fewer training documents than this says nothing.
 LEAST_DOCS = 4
 #: Words that a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 120_000
+#: Text bytes that are scored at once: a token takes some hundred bytes while it is looked at.
+AT_ONCE = 2 << 20
 #: Frequent words by which a text's language is told.
 FREQUENT = {
     "en": "the and of to in is that it for was with as be this are on not he at by",
@@ -260,7 +262,7 @@ def scores(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col:
     def run(columns: list[pa.Array]) -> list:
         return [columns[0].cast(pa.int64()), model.scores(columns[1].to_pylist(), known).astype(np.float64)]
 
-    return map_columns(docs, schema, run, id_col, text_col)
+    return map_columns(docs, schema, run, id_col, text_col, most=AT_ONCE)
 
 
 def clean(docs: DataFrame, model: Classifier, text_col: str = "text", at: float = 0.5) -> DataFrame:
@@ -271,7 +273,7 @@ def clean(docs: DataFrame, model: Classifier, text_col: str = "text", at: float
     def run(batches):
         from marlstone.llm.common import pieces
 
-        for batch in (p for whole in batches for p in pieces(whole)):
+        for batch in (p for whole in batches for p in pieces(whole, AT_ONCE)):
             yield batch.filter(pa.array(model.scores(batch.column(place).to_pylist(), known) < at))
 
     return docs.mapInArrow(run, schema)
