@@ -33,7 +33,7 @@ END, START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 BUCKETS, STEPS = 26, 8
 CHUNKS = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("tokens", T.LongType()), T.StructField("fold", T.BinaryType()), T.StructField("rest", T.BinaryType())])
 SENT = T.StructType([T.StructField("order", T.IntegerType()), T.StructField("range", T.LongType()), T.StructField("chunk", T.LongType()), T.StructField("keys", T.BinaryType()), T.StructField("counts", T.BinaryType())])
-BACK = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("fold", T.BooleanType()), T.StructField("order", T.IntegerType()), T.StructField("keys", T.BinaryType()), T.StructField("totals", T.BinaryType()), T.StructField("all", T.LongType()), T.StructField("distinct", T.LongType())])
+BACK = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("fold", T.BooleanType()), T.StructField("order", T.IntegerType()), T.StructField("range", T.LongType()), T.StructField("keys", T.BinaryType()), T.StructField("totals", T.BinaryType()), T.StructField("all", T.LongType()), T.StructField("distinct", T.LongType())])
 FITTING = T.StructType([T.StructField("code", T.LongType()), T.StructField("n", T.LongType())])
 SCORED = T.StructType([T.StructField("id", T.LongType()), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
 
@@ -73,7 +73,7 @@ def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def table(keep: list[int]) -> bytes:
         out = io.BytesIO()
         own = pa.table({"id": pa.array([ids[i] for i in keep], pa.int64()), "text": pa.array([texts[i] for i in keep], pa.large_string())})
-        with pa.ipc.new_stream(out, own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as sink:
+        with pa.ipc.new_stream(out, own.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as sink:
             sink.write_table(own)
         return out.getvalue()
 
@@ -164,12 +164,18 @@ class Counted:
         keys, of = np.unique(pairs, return_inverse=True)
         add(keys, of.astype(np.int32))
 
-    def totals(self, answers) -> list[np.ndarray]:
-        """Counts over all chunks: the chunk's own, but for the keys in ``answers`` (order, keys, totals)."""
+    def totals(self, answers, ranges: int | None) -> list[np.ndarray]:
+        """Counts over all chunks: the chunk's own, but for those in ``answers``. With ``ranges`` an answer marks by bits which of the
+        chunk's keys in its range it is about; without, it names them."""
         out = [c.astype(np.int64) for c in self.counts]
+        edges = [np.searchsorted(in_range(k, ranges), np.arange(ranges + 1)) for k in self.keys] if ranges else None
         for a in answers or []:
-            keys = untight(a["keys"])
-            out[a["order"] - 1][np.searchsorted(self.keys[a["order"] - 1], keys)] = loose(a["totals"], np.int64)
+            k, totals = a["order"] - 1, loose(a["totals"], np.int64)
+            if edges is None:
+                out[k][np.searchsorted(self.keys[k], untight(a["keys"]))] = totals
+            else:
+                first, last = edges[k][a["range"]], edges[k][a["range"] + 1]
+                out[k][first + np.flatnonzero(np.unpackbits(np.frombuffer(a["keys"], np.uint8), count=last - first))] = totals
         return out
 
     def parts(self, totals: list[np.ndarray], n_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -181,6 +187,11 @@ class Counted:
         return totals[1][self.of[1]], context, word
 
 
+def in_range(keys: np.ndarray, ranges: int) -> np.ndarray:
+    """Which of ``ranges`` equal ranges of the hash space each key is in; rises with the keys."""
+    return (keys >> np.uint64(32)).astype(np.int64) * ranges >> 32
+
+
 def send(ranges: int):
     """Chunks to rows of SENT: for each order and range of the hash space the chunk's keys there, training counts and fold marks."""
 
@@ -193,8 +204,7 @@ def send(ranges: int):
                 chunk, fold, rest = (batch.column(k)[i].as_py() for k in range(3))
                 own = Counted(*tables(fold, rest))
                 for order, (keys, counts, in_fold) in enumerate(zip(own.keys, own.counts, own.in_fold, strict=True), 1):
-                    which = (keys >> np.uint64(32)).astype(np.int64) * ranges >> 32
-                    at, first = np.unique(which, return_index=True)
+                    at, first = np.unique(in_range(keys, ranges), return_index=True)
                     last = [*first[1:], len(keys)]
                     rows = [(order, r, chunk, tight(keys[a:b]), squeezed(counts[a:b] * 2 + in_fold[a:b])) for r, a, b in zip(at.tolist(), first, last, strict=True)]
                     for k in range(0, len(rows), 256):
@@ -204,8 +214,9 @@ def send(ranges: int):
 
 
 def add_up(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-    """One range: totals of all keys, and for each chunk those that differ from its own; besides, all those of its learning fold."""
-    order = int(key[0])
+    """One range: totals of all keys, and for each chunk those that differ from its own; besides, those of its learning fold that are
+    more than 1 (a key of the fold that occurs once occurs there)."""
+    order, which = int(key[0]), int(key[1])
     arrays = [untight(k) for k in frame["keys"]]
     marks = [loose(c).astype(np.int64) for c in frame["counts"]]
     keys, of = np.unique(np.concatenate(arrays), return_inverse=True)
@@ -216,12 +227,13 @@ def add_up(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
     for chunk, held in zip(frame["chunk"], arrays, strict=True):
         every, mine = totals[of[at : at + len(held)]], own[at : at + len(held)]
         at += len(held)
-        differs = every != mine >> 1
-        for fold, keep in ((False, differs), (True, mine & 1 == 1)):
-            if keep.any():
-                out.append((chunk, fold, order, tight(held[keep]), squeezed(every[keep]), 0, 0))
+        differs, learns = every != mine >> 1, (mine & 1 == 1) & (every > 1)
+        if differs.any():
+            out.append((chunk, False, order, which, np.packbits(differs).tobytes(), squeezed(every[differs]), 0, 0))
+        if learns.any():
+            out.append((chunk, True, order, which, tight(held[learns]), squeezed(every[learns]), 0, 0))
     if order == 1:
-        out.append((-1, False, 1, b"", b"", int(totals.sum()), int((totals > 0).sum())))
+        out.append((-1, False, 1, which, b"", b"", int(totals.sum()), int((totals > 0).sum())))
     return pd.DataFrame(out, columns=[f.name for f in BACK])
 
 
@@ -279,7 +291,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     n, v = sums["n"], sums["v"]
 
     def answered(fold: bool) -> DataFrame:
-        own = back.where(F.col("fold") == fold).where("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("order", "keys", "totals")).alias("answers"))
+        own = back.where(F.col("fold") == fold).where("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("order", "range", "keys", "totals")).alias("answers"))
         return chunks.join(own, "chunk", "left")
 
     def fitted(columns: list[pa.Array]) -> list:
@@ -288,7 +300,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             own = Counted(*tables(blob))
             if not len(own.fold):
                 continue
-            two, context, word = own.parts(own.totals(answers), n_docs)
+            two, context, word = own.parts(own.totals(answers, None), n_docs)
             two, context, word = two - 1, context - 1, word - 1
             p2 = np.where(context > 0, two / np.maximum(context, 1), 0)
             codes.append(bucket(context) << 16 | step(p2) << 8 | step(word / max(n - 1, 1)))
@@ -302,7 +314,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         out: list[list] = [[] for _ in SCORED]
         for fold, rest, answers in zip(*(c.to_pylist() for c in columns), strict=True):
             own = Counted(*tables(fold, rest))
-            two, context, word = own.parts(own.totals(answers), n_docs)
+            two, context, word = own.parts(own.totals(answers, ranges), n_docs)
             mix = lam[bucket(context)]
             p = mix[:, 0] * two / np.maximum(context, 1) + mix[:, 1] * word / max(n, 1) + mix[:, 2] / (v + 1)
             made = (own.ids, own.sides == 2, own.lengths, np.add.reduceat(word > 0, own.starts, dtype=np.int64), np.add.reduceat(np.log10((word + 1) / (n + v + 1)), own.starts), np.add.reduceat(np.log10(p), own.starts))

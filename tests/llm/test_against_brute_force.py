@@ -280,3 +280,17 @@ def test_labels_held_out_are_not_learned(spark):
     labels = spark.createDataFrame([(i, 1 if crc32(str(i).encode()) % 5 == 0 else 0) for i in range(50)], "doc_id long, toxic int")
     model = toxicity.learn(docs, labels)
     assert (model.scores([f"text {i}" for i in range(50)], toxicity.Words()) < 0.5).all()
+
+
+def test_lm_does_not_depend_on_chunks_or_ranges(spark, monkeypatch):
+    rnd = random.Random(2)
+    words = [f"v{i}" for i in range(25)]
+    docs = spark.createDataFrame([(i, " ".join(rnd.choice(words) for _ in range(rnd.randrange(30)))) for i in range(150)], "doc_id long, text string")
+    one = {r["id"]: r for r in lm.scores(docs.coalesce(1)).collect()}
+    monkeypatch.setattr(lm, "RANGE", 60)
+    many = {r["id"]: r for r in lm.scores(docs.repartition(6)).collect()}
+    assert one.keys() == many.keys()
+    for i, r in one.items():
+        assert many[i]["n_known"] == r["n_known"]
+        assert many[i]["base_score"] == pytest.approx(r["base_score"])
+        assert many[i]["score"] == pytest.approx(r["score"], rel=1e-6)
