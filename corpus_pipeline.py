@@ -27,8 +27,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the chunks of lines that stand elsewhere before."""
-    return _sized(linededup.without_repeats(docs))
+    """All documents, without the passages that stand elsewhere before. Copies of one line go in the next stage, as rows."""
+    return _sized(linededup.without_repeats(docs, copies=False))
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

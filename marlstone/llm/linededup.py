@@ -3,6 +3,10 @@
 A document's lines are cut into chunks wherever a rolling hash over the last few line hashes is 0 modulo ``divisor``. The cuts depend
 on the lines around them alone, so a passage is cut alike wherever it stands, but for its ends. Of chunks of ``least_lines`` lines or
 more that occur again anywhere, byte for byte, only the first occurrence stays.
+
+Cuts miss passages that hold no whole chunk, and the ends of others. So runs of lines are compared as well: for each line the shortest
+run of more than ``over`` words that starts with it, and the shortest that ends with it. Of two equal passages of more words than that,
+every line is in one of these runs, all within the passage; so repeated passages go from their first line to their last.
 """
 
 from __future__ import annotations
@@ -10,11 +14,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import cut, small
+from marlstone.llm.common import WORD, cut, small
 
 #: Base of the rolling hash; line hashes have 32 bits, so sums over some lines stay below 63 bits.
 BASE = 31
-#: Up to so many repeated chunks (16 bytes each) are sent to all tasks; more are joined by a shuffle.
+#: Up to so many repeated passages (8 bytes each) are sent to all tasks; more are joined by a shuffle.
 SENT = 200_000
 
 
@@ -39,31 +43,75 @@ def chunks(text: Column, window: int, divisor: int) -> Column:
     return F.element_at(F.transform(F.array(both), of), 1)
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 2, divisor: int = 3, least_lines: int = 2) -> DataFrame:
-    """Rows of ``docs`` with all their columns, repeated chunks cut out of the text, and ``lines``, ``removed_lines`` (long).
+def runs(text: Column, over: int) -> Column:
+    """An array of (``first``, ``until``, ``alone``, ``body``): the shortest runs of more than ``over`` words from each line and to it.
 
-    The first occurrence, by id (nulls first), then text and place in it, stays. Lines end at line feeds only; chunks without anything but
-    spaces and line feeds always stay; a text of which nothing is left becomes empty, its row stays. A null text stays null with no
-    lines, the empty text has one empty line. Rows equal in id and text count as one document and are cut alike. Very long texts are
-    cut whole; columns ``lines`` and ``removed_lines`` of ``docs`` are replaced; other columns pass unseen.
+    Lines without words belong to no ``body``; ``alone`` says that the run is the text's only line.
     """
-    id_, text = F.col(id_col), F.col(text_col)
-    own = docs.where(text.isNotNull()).select(id_.alias("id"), F.xxhash64(text).alias("mark"), F.explode(F.filter(chunks(text, window, divisor), lambda c: (c["lines"] >= least_lines) & (F.translate(c["body"], " \n", "") != ""))).alias("c"))
-    keys = own.select("id", "mark", F.col("c.first").alias("first"), F.xxhash64("c.body").alias("hash"), F.length("c.body").alias("chars"))
-    again = cut(keys.groupBy("hash", "chars").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash", "chars"))
-    found = own.select("id", "mark", F.col("c.first").alias("first"), F.col("c.body").alias("body"), F.xxhash64("c.body").alias("hash"), F.length("c.body").alias("chars"))
-    found = cut(found.join(small(again, again.count(), SENT), ["hash", "chars"], "left_semi").select("id", "mark", "first", "hash", "body"))
-    # Equal hashes have brought the candidates here; from now on their bytes decide.
+    base = over + 2
+    lines = F.split(text, "\n", -1)
+    counted = F.transform(lines, lambda x, i: F.struct(i.alias("at"), F.regexp_count(x, F.lit(WORD)).cast("long").alias("words"), x.alias("line")))
+    both = F.struct(F.filter(counted, lambda x: x["words"] > 0).alias("full"), F.size(lines).alias("n"))
+
+    def of(x: Column) -> Column:
+        full = x["full"]
+        n = F.size(full)
+
+        def taking(some: Column) -> Column:
+            # One number holds the words and, below ``base``, the lines: structs would be made anew for each line.
+            add = lambda s, y: F.when(s >= (over + 1) * base, s).otherwise(s + y["words"] * base + 1)
+            return F.aggregate(some, F.lit(0).cast("long"), add, lambda s: F.when(s >= (over + 1) * base, (s % base).cast("int")))
+
+        def reach(few: Column, all_: Column) -> Column:
+            """How many of the lines it takes, mostly few; null if all are too few."""
+            return F.coalesce(taking(few), taking(all_))
+
+        every = F.filter(F.sequence(F.lit(0), n), lambda i: i < n)
+        ahead = F.transform(every, lambda i: F.struct(i.alias("a"), (i + reach(F.slice(full, i + 1, 3), F.slice(full, i + 1, over + 1)) - 1).alias("b")))
+        before = lambda i, n: F.reverse(F.slice(full, F.greatest(i - n, F.lit(0)) + 1, F.least(i, F.lit(n)) + 1))
+        back = F.transform(every, lambda i: F.struct((i - reach(before(i, 2), before(i, over)) + 1).alias("a"), i.alias("b")))
+        found = F.filter(F.array_distinct(F.concat(ahead, back)), lambda r: r["a"].isNotNull() & r["b"].isNotNull())
+        body = lambda r: F.array_join(F.transform(F.slice(full, r["a"] + 1, r["b"] - r["a"] + 1), lambda y: y["line"]), "\n")
+        return F.transform(found, lambda r: F.struct(F.get(full, r["a"])["at"].alias("first"), F.get(full, r["b"])["at"].alias("until"), (x["n"] == 1).alias("alone"), body(r).alias("body")))
+
+    return F.element_at(F.transform(F.array(both), of), 1)
+
+
+def repeats(own: DataFrame) -> DataFrame:
+    """``id``, ``mark``, ``first``, ``until`` of every passage ``c`` of ``own`` (``id``, ``mark``, ``c``) but the first of equal ones."""
+    each = cut(own.select("id", "mark", "c.first", "c.until", "c.alone", F.xxhash64("c.body").alias("hash"), F.unhex(F.sha2("c.body", 256)).alias("digest")))
+    again = cut(each.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"))
+    # Equal hashes bring the candidates here; from now on their bytes decide, by a digest of 256 bits.
+    found = cut(each.join(small(again, again.count(), SENT), "hash", "left_semi").drop("hash"))
     place = F.struct("id", "mark", "first")
-    kept = cut(found.groupBy("hash", "body").agg(F.min(place).alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
-    gone = found.join(kept, ["hash", "body"]).where(place != F.col("kept"))
-    gone = cut(gone.groupBy("id", "mark").agg(F.collect_set("first").alias("gone")))
+    kept = cut(found.groupBy("digest").agg(F.min(F.struct("id", "mark", "first", "alone")).alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    both_alone = F.col("alone") & F.col("kept.alone")
+    return found.join(kept, "digest").where((place != F.struct("kept.id", "kept.mark", "kept.first")) & ~both_alone).select("id", "mark", "first", "until")
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 2, divisor: int = 3, least_lines: int = 2, over: int = 50, copies: bool = True) -> DataFrame:
+    """Rows of ``docs`` with all their columns, repeated passages cut out of the text, and ``lines``, ``removed_lines`` (long).
+
+    Passages are chunks of ``least_lines`` lines or more and runs of lines of more than ``over`` words, lines without words within them
+    not compared. The first occurrence, by id (nulls first), then text and place in it, stays; every line that goes has an equal one
+    before it that stays. With ``copies`` off, a text of one line that is nothing but a copy of another such text is left alone, for a
+    stage that removes copies as rows. Lines end at line feeds only; passages without anything but spaces and line feeds always stay; a
+    text of which nothing is left becomes empty, its row stays. A null text stays null with no lines, the empty text has one empty
+    line. Rows equal in id and text count as one document and are cut alike. Very long texts are cut whole; columns ``lines`` and
+    ``removed_lines`` of ``docs`` are replaced; other columns pass unseen.
+    """
+    id_, text = F.col(id_col), F.col(text_col)
+    solid = lambda c: (c["lines"] >= least_lines) & (F.translate(c["body"], " \n", "") != "")
+    parts = F.transform(F.filter(chunks(text, window, divisor), solid), lambda c: F.struct(c["first"].alias("first"), (c["first"] + c["lines"] - 1).alias("until"), F.lit(False).alias("alone"), c["body"].alias("body")))
+    longer = F.transform(runs(text, over), lambda c: F.struct(c["first"].alias("first"), c["until"].alias("until"), (c["alone"] & F.lit(not copies)).alias("alone"), c["body"].alias("body")))
+    own = docs.where(text.isNotNull()).select(id_.alias("id"), F.xxhash64(text).alias("mark"), F.explode(F.concat(parts, longer)).alias("c"))
+    gone = cut(repeats(own).groupBy("id", "mark").agg(F.collect_set(F.struct("first", "until")).alias("gone")))
     held = docs.drop("lines", "removed_lines").withColumn("_mark", F.xxhash64(text))
     many = gone.select(F.col("id").alias("_id"), F.col("mark").alias("_other"), "gone")
     held = held.join(many, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_other")), "left")
-    pieces = F.transform(F.array(chunks(text, window, divisor)), lambda cs: F.struct(F.filter(cs, lambda c: ~F.array_contains(F.col("gone"), c["first"])).alias("stay"), F.filter(cs, lambda c: F.array_contains(F.col("gone"), c["first"])).alias("go")))[0]
-    cut_out = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(F.transform(pieces["stay"], lambda c: c["body"]), "\n"))
-    removed = F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.aggregate(pieces["go"], F.lit(0), lambda s, c: s + c["lines"]))
     n = F.coalesce(F.regexp_count(text, F.lit("\n")) + 1, F.lit(0))
-    out = held.select(*[cut_out.alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in ("lines", "removed_lines")], n.cast("long").alias("lines"), removed.cast("long").alias("removed_lines"))
-    return out
+    stay = F.array_except(F.sequence(F.lit(0), n - 1), F.flatten(F.transform("gone", lambda g: F.sequence(g["first"], g["until"]))))
+    left = F.transform(F.array(F.struct(F.split(text, "\n", -1).alias("lines"), stay.alias("stay"))), lambda x: F.struct(F.array_join(F.transform(x["stay"], lambda i: F.get(x["lines"], i)), "\n").alias("text"), F.size(x["stay"]).alias("n")))[0]
+    cut_out = F.when(F.col("gone").isNull(), text).otherwise(left["text"])
+    removed = F.when(F.col("gone").isNull(), F.lit(0)).otherwise(n - left["n"])
+    return held.select(*[cut_out.alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in ("lines", "removed_lines")], n.cast("long").alias("lines"), removed.cast("long").alias("removed_lines"))
