@@ -57,15 +57,10 @@ SIGNALS: dict[str, Make] = {
 }
 
 
-def dense(w: World, *names: str) -> DataFrame:
-    """Every wallet and signal, those of ``names`` computed; kept, since weights and scores both read it."""
+def dense(w: World) -> DataFrame:
+    """Every wallet and all eight signals; kept, since weights and scores both read it."""
     w.keep()
-    return signals.dense(w.users, {s: SIGNALS[s](w) for s in names}).persist()
-
-
-def simple_dense(w: World) -> DataFrame:
-    """The three signals that SQL states in a few lines."""
-    return dense(w, "S2", "S3", "S7")
+    return signals.dense(w.users, {s: make(w) for s, make in SIGNALS.items()}).persist()
 
 
 @query
@@ -163,73 +158,73 @@ def redeem_shapes(w: World) -> DataFrame:
 
 @query
 def signals_dense(w: World) -> DataFrame:
-    return rounded(simple_dense(w), "raw", "component").drop("evidence")
+    return rounded(dense(w), "raw", "component").drop("evidence")
 
 
 @query
 def applied_weights(w: World) -> DataFrame:
-    applied = scoring.applied_weights(simple_dense(w), WEIGHTS)
+    applied = scoring.applied_weights(dense(w), WEIGHTS)
     return w.spark.createDataFrame(sorted(applied.items()), "signal string, weight double")
 
 
 @query
 def score_total(w: World) -> DataFrame:
-    held = simple_dense(w)
+    held = dense(w)
     return rounded(scoring.scores(held, w.users, scoring.applied_weights(held, WEIGHTS)), "total", "total_passed")
 
 
 @query
 def score_override(w: World) -> DataFrame:
-    held = simple_dense(w)
+    held = dense(w)
     return rounded(scoring.scores(held, w.users, scoring.applied_weights(held, scoring.overridden(WEIGHTS, {"S3": 0}))), "total", "total_passed")
 
 
 @query
 def score_recompute(w: World) -> DataFrame:
-    held = simple_dense(w)
+    held = dense(w)
     applied = scoring.applied_weights(held, WEIGHTS)
     return scoring.recompute_differences(scoring.scores(held, w.users, applied), held, applied)
 
 
 @query
 def contributions(w: World) -> DataFrame:
-    held = simple_dense(w).where("scope = 'all'")
+    held = dense(w).where("scope = 'all'")
     return rounded(scoring.contributions(held, scoring.applied_weights(held, WEIGHTS)).select("scope", "wallet", "signal", "part"), "part")
 
 
 @query
 def pending_signals(w: World) -> DataFrame:
-    return scoring.pending(simple_dense(w))
+    return scoring.pending(dense(w))
 
 
 @query
 def shown_signals(w: World) -> DataFrame:
-    return rounded(serving.shown(simple_dense(w), w.users), "raw", "component")
+    return rounded(serving.shown(dense(w), w.users), "raw", "component")
 
 
 @query
 def full_scores(w: World) -> DataFrame:
     """All eight signals end to end; each is compared with SQL by a query of its own."""
-    held = dense(w, *SIGNALS)
+    held = dense(w)
     return scoring.scores(held, w.users, scoring.applied_weights(held, WEIGHTS))
 
 
 @query
 def leaderboard(w: World) -> DataFrame:
-    held = simple_dense(w)
+    held = dense(w)
     return rounded(serving.leaderboard(scoring.scores(held, w.users, scoring.applied_weights(held, WEIGHTS)), w.early), "total")
 
 
 @query
 def board_page(w: World) -> DataFrame:
-    held = simple_dense(w)
+    held = dense(w)
     scored = scoring.scores(held, w.users, scoring.applied_weights(held, WEIGHTS)).where("scope = 'all'")
     return rounded(serving.page(serving.board(scored, 0.1), 2, 25, F.col("total").desc(), "wallet").select("wallet", "total"), "total")
 
 
 @query
 def topn_per_market(w: World) -> DataFrame:
-    held = simple_dense(w)
+    held = dense(w)
     return rounded(serving.top_per_market(scoring.scores(held, w.users, scoring.applied_weights(held, WEIGHTS)), 5), "total")
 
 
@@ -379,10 +374,10 @@ def weight_grid(w: World) -> DataFrame:
 
 
 def config_totals(w: World) -> DataFrame:
-    held = simple_dense(w).where("scope = 'all'").groupBy("wallet").agg(*[F.max(F.when(F.col("signal") == s, F.col("component"))).alias(s) for s in signals.SIGNALS])
+    held = dense(w).where("scope = 'all'").groupBy("wallet").agg(*[F.max(F.when(F.col("signal") == s, F.col("component"))).alias(s) for s in signals.SIGNALS])
     key = F.substring("wallet", 2, 20).cast("long")
     held = held.withColumns({"label": (key % 3 == 0).cast("int"), "unit": (key % 60).cast("string")})
-    return stats.totals_by_config(held, stats.weight_grid(["S2", "S3", "S7"]))
+    return stats.totals_by_config(held, stats.weight_grid(list(SIGNALS)))
 
 
 @query
@@ -437,7 +432,7 @@ def dup_key_check(w: World) -> DataFrame:
 
 @query
 def na_invariant(w: World) -> DataFrame:
-    return audit.broken_na(simple_dense(w)).select("scope", "wallet", "signal")
+    return audit.broken_na(dense(w)).select("scope", "wallet", "signal")
 
 
 @query
