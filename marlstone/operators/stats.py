@@ -57,11 +57,34 @@ def draws(units: list[tuple[int, str]], rounds: int, seed: int) -> list[tuple[in
     return out
 
 
+def won_by_units(totals: DataFrame) -> DataFrame:
+    """``config``, ``u``, ``v``, ``won``: twice the pairs of a positive row of unit u and a negative one of unit v that the positive
+    outranks, ties half. Rows multiply by the negative units, never by each other."""
+    value = F.coalesce("score", F.lit(float("-inf"))).alias("s")
+    counted = lambda label, unit, n: totals.where(F.col("label") == label).groupBy("config", value, F.col("unit").alias(unit)).agg(F.count(F.lit(1)).alias(n))
+    pos, neg = counted(1, "u", "p"), counted(0, "v", "q")
+    each = pos.join(F.broadcast(totals.where("label = 0").select(F.col("unit").alias("v")).distinct()))  # units are few
+    cells = neg.select("config", "v", "s", "q", F.lit(None).alias("u"), F.lit(0).alias("p")).unionByName(each.select("config", "v", "s", F.lit(0).alias("q"), "u", "p"))
+    ahead = Window.partitionBy("config", "v").orderBy("s")
+    upto = F.sum("q").over(ahead.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    here = F.sum("q").over(Window.partitionBy("config", "v", "s"))
+    cells = cells.select("config", "u", "v", "p", (2 * upto - here).alias("below")).where("p > 0")  # twice those below, once those equal
+    return cells.groupBy("config", "u", "v").agg(F.sum(F.col("p") * F.col("below")).alias("won"))
+
+
 def bootstrap(totals: DataFrame, rounds: int = 2000, seed: int = 1) -> DataFrame:
-    """Paired cluster bootstrap of the gain in AUC over W0: ``config``, ``p05``, ``p50``, ``p95``, ``mean``."""
+    """Paired cluster bootstrap of the gain in AUC over W0: ``config``, ``p05``, ``p50``, ``p95``, ``mean``.
+
+    A round draws units, so its AUC is a sum over pairs of units, counted once; the rows themselves don't multiply by the rounds.
+    """
     units = [(r["label"], r["unit"]) for r in totals.select("label", "unit").distinct().collect()]
     drawn = totals.sparkSession.createDataFrame(draws(units, rounds, seed), "round int, label int, unit string, times long")
-    per = auc(totals.join(F.broadcast(drawn), ["label", "unit"]), ["config", "round"], weight="times")
+    side = lambda label, unit, times: F.broadcast(drawn.where(F.col("label") == label).select("round", F.col("unit").alias(unit), F.col("times").alias(times)))
+    half = won_by_units(totals).join(side(1, "u", "t"), "u").groupBy("config", "round", "v").agg(F.sum(F.col("won") * F.col("t")).alias("won"))
+    won = half.join(side(0, "v", "t"), ["round", "v"]).groupBy("config", "round").agg(F.sum(F.col("won") * F.col("t")).alias("won"))
+    rows = totals.groupBy("config", "label", "unit").agg(F.count(F.lit(1)).alias("n"))
+    sizes = rows.join(F.broadcast(drawn), ["label", "unit"]).groupBy("config", "round").agg(*[F.sum(F.when(F.col("label") == k, F.col("n") * F.col("times"))).alias(c) for k, c in ((1, "n_pos"), (0, "n_neg"))])
+    per = sizes.join(won, ["config", "round"], "left").select("config", "round", F.try_divide(F.col("won").cast("double"), (2 * F.col("n_pos") * F.col("n_neg")).cast("double")).alias("auc"))
     base = per.where("config = 'W0'").select("round", F.col("auc").alias("base"))
     gains = per.join(base, "round").withColumn("gain", F.col("auc") - F.col("base"))
     held = gains.groupBy("config").agg(F.sort_array(F.collect_list("gain")).alias("g"))

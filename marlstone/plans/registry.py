@@ -387,7 +387,7 @@ def weight_grid_auc(w: World) -> DataFrame:
 
 @query
 def bootstrap_quantile(w: World) -> DataFrame:
-    return stats.bootstrap(config_totals(w), 40, 1)
+    return stats.bootstrap(config_totals(w))
 
 
 @query
