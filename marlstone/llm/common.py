@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -41,6 +43,13 @@ def pieces(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatc
         yield batch.slice(at, rows)
 
 
+def release() -> None:
+    """Gives memory that a task no longer needs back to the system: a worker lives on, and would keep it for tasks of any kind."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_columns(df: DataFrame, schema: T.StructType, function: Callable[[list[pa.Array]], list], *columns: str, most: int = 8 << 20) -> DataFrame:
     """Rows of ``columns`` through ``function``, which takes and returns whole Arrow columns, about ``most`` bytes at a time."""
     names = [f.name for f in schema.fields]
@@ -51,7 +60,9 @@ def map_columns(df: DataFrame, schema: T.StructType, function: Callable[[list[pa
         wanted = to_arrow_schema(schema)
         for batch in (piece for whole in batches for piece in pieces(whole, most)):
             made = function([batch.column(i) for i in range(batch.num_columns)])
-            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, wanted.field(n).type) for x, n in zip(made, names, strict=True)], schema=wanted)
+            yield pa.RecordBatch.from_arrays([x.cast(wanted.field(n).type) if isinstance(x, pa.Array) else pa.array(x, wanted.field(n).type) for x, n in zip(made, names, strict=True)], schema=wanted)
+            del made, batch
+        release()
 
     return df.select(*columns).mapInArrow(run, schema)
 

@@ -27,6 +27,29 @@ def test_piece_bpe_equals_the_library():
         assert own.decode(ids) == library.decode(ids)
 
 
+def test_piece_bpe_side_by_side_equals_the_library(monkeypatch):
+    P = pytest.importorskip("public_tokenizers")
+    spm = pytest.importorskip("sentencepiece")
+    path = P.path("piece_bpe_32k.model")
+    library = spm.SentencePieceProcessor(model_file=path)
+    with open(path, "rb") as f:
+        own = piece_bpe.batch_encoder(f.read())
+    rnd = random.Random(4)
+    texts = [None, "", " ", "  ", "▁a ", "\n\t", "a" * 3000, "ab" * 2000, "<s> </s><unk><0x41>", "Ünïcödé 漢字 \U0001f600\u0000 end ", "\0", "x \0 y"]
+    texts += ["".join(rnd.choice("aeith ▁\n0é漢\U0001f600xĀ<>s.,\0") for _ in range(rnd.randrange(120))) for _ in range(600)]
+    want = [library.encode(t or "") for t in texts]
+    for at_once, long in ((1 << 20, 64), (50, 64), (1 << 20, 6)):  # one portion, many, and most stretches one by one
+        monkeypatch.setattr(piece_bpe, "AT_ONCE", at_once)
+        monkeypatch.setattr(piece_bpe, "LONG", long)
+        got = own.encode(texts)
+        assert got.to_pylist() == want
+        assert own.decode(got).to_pylist() == [library.decode(ids) for ids in want]
+    a, b = ([rnd.randrange(own.n) for _ in range(3000)] for _ in range(2))
+    plain = [own.own.merged(own.own.order[i] + own.own.order[j]) == [own.own.order[i], own.own.order[j]] for i, j in zip(a, b)]
+    assert own.fit(np.array(a), np.array(b)).tolist() == plain
+    assert [own.own.fit(own.own.order[i], own.own.order[j]) for i, j in zip(a, b)] == plain
+
+
 def test_embedding_links(spark):
     rnd = np.random.default_rng(2)
     base = rnd.normal(size=(40, 12))
