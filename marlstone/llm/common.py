@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -17,10 +19,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that all executors share: the session's ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder that all executors share: the session's ``spark.checkpoint.dir``. Only a local session may leave it unset, as in tests,
+    and gets a temporary one."""
     context = spark.sparkContext
     if (held := context._jsc.sc().getCheckpointDir()).isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="marlstone-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="marlstone-"))
         held = context._jsc.sc().getCheckpointDir()
     return held.get()
 
@@ -43,6 +49,14 @@ def pieces(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatc
         yield batch.slice(at, rows)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet to the folder that all executors share, and read again: for large tables smaller than ``cut``, and
+    read by column."""
+    path = f"{scratch(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def release() -> None:
     """Gives memory that a task no longer needs back to the system: a worker lives on, and would keep it for tasks of any kind."""
     pa.default_memory_pool().release_unused()

@@ -14,12 +14,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import WORD, cut, small
+from marlstone.llm.common import WORD, kept
 
 #: Base of the rolling hash; line hashes have 32 bits, so sums over some lines stay below 63 bits.
 BASE = 31
-#: Up to so many repeated passages (8 bytes each) are sent to all tasks; more are joined by a shuffle.
-SENT = 200_000
 
 
 def chunks(text: Column, window: int, divisor: int) -> Column:
@@ -78,15 +76,19 @@ def runs(text: Column, over: int) -> Column:
 
 
 def repeats(own: DataFrame) -> DataFrame:
-    """``id``, ``mark``, ``first``, ``until`` of every passage ``c`` of ``own`` (``id``, ``mark``, ``c``) but the first of equal ones."""
-    each = cut(own.select("id", "mark", "c.first", "c.until", "c.alone", F.xxhash64("c.body").alias("hash"), F.unhex(F.sha2("c.body", 256)).alias("digest")))
-    again = cut(each.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"))
-    # Equal hashes bring the candidates here; from now on their bytes decide, by a digest of 256 bits.
-    found = cut(each.join(small(again, again.count(), SENT), "hash", "left_semi").drop("hash"))
+    """``id``, ``mark``, ``first``, ``until`` of every passage ``c`` of ``own`` (``id``, ``mark``, ``c``) but the first of equal ones.
+
+    Bodies are compared by digests of 256 bits. All are written once, by column; counting reads the digests alone, and only passages
+    whose digest repeats go on. The join is never a broadcast, so that a passage in a great part of all documents can be split.
+    """
+    each = kept(own.select("id", "mark", "c.first", "c.until", "c.alone", F.unhex(F.sha2("c.body", 256)).alias("digest")))
+    short = F.xxhash64("digest").alias("hash")
+    again = kept(each.select(short).groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"))
+    found = kept(each.withColumn("hash", F.xxhash64("digest")).join(again.hint("merge"), "hash", "left_semi").drop("hash"))
     place = F.struct("id", "mark", "first")
-    kept = cut(found.groupBy("digest").agg(F.min(F.struct("id", "mark", "first", "alone")).alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    first = kept(found.groupBy("digest").agg(F.min(F.struct("id", "mark", "first", "alone")).alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
     both_alone = F.col("alone") & F.col("kept.alone")
-    return found.join(kept, "digest").where((place != F.struct("kept.id", "kept.mark", "kept.first")) & ~both_alone).select("id", "mark", "first", "until")
+    return found.join(first.hint("merge"), "digest").where((place != F.struct("kept.id", "kept.mark", "kept.first")) & ~both_alone).select("id", "mark", "first", "until")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 2, divisor: int = 3, least_lines: int = 2, over: int = 50, copies: bool = True) -> DataFrame:
@@ -105,7 +107,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = F.transform(F.filter(chunks(text, window, divisor), solid), lambda c: F.struct(c["first"].alias("first"), (c["first"] + c["lines"] - 1).alias("until"), F.lit(False).alias("alone"), c["body"].alias("body")))
     longer = F.transform(runs(text, over), lambda c: F.struct(c["first"].alias("first"), c["until"].alias("until"), (c["alone"] & F.lit(not copies)).alias("alone"), c["body"].alias("body")))
     own = docs.where(text.isNotNull()).select(id_.alias("id"), F.xxhash64(text).alias("mark"), F.explode(F.concat(parts, longer)).alias("c"))
-    gone = cut(repeats(own).groupBy("id", "mark").agg(F.collect_set(F.struct("first", "until")).alias("gone")))
+    gone = kept(repeats(own).groupBy("id", "mark").agg(F.collect_set(F.struct("first", "until")).alias("gone")))
     held = docs.drop("lines", "removed_lines").withColumn("_mark", F.xxhash64(text))
     many = gone.select(F.col("id").alias("_id"), F.col("mark").alias("_other"), "gone")
     held = held.join(many, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_other")), "left")

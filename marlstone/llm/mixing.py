@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.common import WORD, cut, ranked, small
 
+#: The white space before a word.
+BEFORE = r"[\x20\x09-\x0D]*"
+
 
 def words(text_col: str) -> Column:
     """How many words a text has; none if it is null."""
@@ -90,7 +93,7 @@ def amounts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 1) -> DataFrame:
     """The mix itself: rows of ``docs`` with all their columns, each as often as ``amounts`` takes it.
 
-    A document at the edge of its source's target appears once with its first words only, joined by spaces. Documents without words
+    A document at the edge of its source's target appears once with its first words only, as they stand in the text. Documents without words
     are in no mix. See ``amounts`` for nulls, repeats and empty tables. The documents are not shuffled if the sources are few.
     """
     size = words(text_col)
@@ -100,5 +103,5 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     held = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), source_key(source_col).alias("key"), order_key(id_col, size, seed).alias("place"), size.alias("size"))
     held = held.join(small(sources, n), "key").withColumn("taken", taken(F.col("place"), F.col("size"))).where("size > 0 AND taken > 0")
     each = held.select("row", "size", F.explode(F.expr("transform(sequence(0L, (taken - 1) div size), i -> least(size, taken - i * size))")).alias("give"))
-    first = F.array_join(F.slice(F.regexp_extract_all(F.col(f"row.{text_col}"), F.lit(WORD), 0), 1, F.col("give").cast("int")), " ")
+    first = F.array_join(F.slice(F.regexp_extract_all(F.col(f"row.{text_col}"), F.lit(BEFORE + WORD), 0), 1, F.col("give").cast("int")), "")
     return each.select(*[F.when(F.col("give") < F.col("size"), first).otherwise(F.col("row")[c]).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in names])

@@ -22,22 +22,33 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP2_SQL = r"""
 WITH l AS (
-  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
   FROM documents WHERE text IS NOT NULL
 ), h AS (
-  SELECT *, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS v FROM l
+  SELECT *, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS v, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM l
 ), e AS (
   SELECT *, CASE WHEN i >= 2 AND (v + 31 * lag(v) OVER (PARTITION BY doc_id ORDER BY i)) % 3 = 0 THEN 1 ELSE 0 END AS ends FROM h
 ), n AS (
   SELECT *, sum(ends) OVER (PARTITION BY doc_id ORDER BY i) - ends AS chunk FROM e
 ), c AS (
-  SELECT doc_id, chunk, min(i) AS first, count(*) AS lines, string_agg(line, chr(10) ORDER BY i) AS body FROM n GROUP BY doc_id, chunk
+  SELECT doc_id, min(i) AS first, max(i) AS until, string_agg(line, chr(10) ORDER BY i) AS body FROM n GROUP BY doc_id, chunk
+), f AS (
+  SELECT doc_id, i, row_number() OVER w AS k, sum(words) OVER w AS p, sum(words) OVER w - words AS s FROM h WHERE words > 0 WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), a AS (
+  SELECT doc_id, list(line ORDER BY i) AS full_lines FROM h WHERE words > 0 GROUP BY doc_id
 ), r AS (
-  SELECT *, lines >= 2 AND translate(body, ' ' || chr(10), '') <> '' AND row_number() OVER (PARTITION BY body, lines >= 2 ORDER BY doc_id, first) > 1 AS gone FROM c
+  SELECT x.doc_id, x.i AS first, y.i AS until, x.k AS k1, y.k AS k2 FROM f x ASOF JOIN f y ON x.doc_id = y.doc_id AND x.s + 51 <= y.p
+  UNION SELECT y.doc_id, x.i, y.i, x.k, y.k FROM f y ASOF JOIN f x ON x.doc_id = y.doc_id AND y.p - 51 >= x.s
+), b AS (
+  SELECT doc_id, first, until, body FROM c WHERE until > first AND translate(body, ' ' || chr(10), '') <> ''
+  UNION ALL SELECT doc_id, first, until, array_to_string(full_lines[k1:k2], chr(10)) FROM r JOIN a USING (doc_id)
+), g AS (
+  SELECT * FROM (SELECT *, min((doc_id, first)) OVER (PARTITION BY body) AS kept FROM b) WHERE (doc_id, first) <> kept
+), m AS (
+  SELECT DISTINCT doc_id, unnest(range(first, until + 1)) AS i FROM g
 ), d AS (
-  SELECT doc_id, coalesce(string_agg(body, chr(10) ORDER BY first) FILTER (WHERE NOT gone), '') AS text, CAST(sum(lines) AS BIGINT) AS lines,
-    CAST(coalesce(sum(lines) FILTER (WHERE gone), 0) AS BIGINT) AS removed_lines
-  FROM r GROUP BY doc_id
+  SELECT l.doc_id, coalesce(string_agg(line, chr(10) ORDER BY l.i) FILTER (WHERE m.i IS NULL), '') AS text, count(*) AS lines, count(m.i) AS removed_lines
+  FROM l LEFT JOIN m ON m.doc_id = l.doc_id AND m.i = l.i GROUP BY l.doc_id
 )
 SELECT doc_id, text, lines, removed_lines FROM d
 UNION ALL SELECT doc_id, NULL, 0, 0 FROM documents WHERE text IS NULL

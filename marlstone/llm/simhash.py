@@ -45,15 +45,16 @@ def simhash(text: str | None, shingle: int) -> int:
     return int(np.packbits((2 * counts > n).astype(np.uint8), bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """``id`` and ``fingerprint`` (signed long) of each row. A null text counts as empty; the empty text's fingerprint is 0."""
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("fingerprint", T.LongType())])
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, *more: str) -> DataFrame:
+    """``id``, ``fingerprint`` (signed long) and the long columns ``more`` of each row. A null text counts as empty; the empty text's
+    fingerprint is 0."""
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("id", "fingerprint", *more)])
 
     def run(columns: list[pa.Array]) -> list:
-        ids, texts = columns
-        return [ids.cast(pa.int64()), np.fromiter((simhash(t.as_py(), shingle) for t in texts), np.int64, len(texts))]
+        ids, texts, *others = columns
+        return [ids.cast(pa.int64()), np.fromiter((simhash(t.as_py(), shingle) for t in texts), np.int64, len(texts)), *others]
 
-    return map_columns(docs, schema, run, id_col, text_col)
+    return map_columns(docs, schema, run, id_col, text_col, *more)
 
 
 def together(prints: DataFrame) -> tuple[int, np.ndarray]:
@@ -186,18 +187,41 @@ def links(prints: DataFrame, distance: int) -> DataFrame:
     return first.union(probes.join(index, on).select("a", "b"))
 
 
+def rooted(prints: DataFrame, distance: int) -> DataFrame:
+    """``prints`` (distinct ``fingerprint``, ``n``, ``least``) with ``root``, the fingerprint that stands for its group."""
+    groups = components(links(prints.select("fingerprint", "n"), distance))
+    return prints.join(groups, prints.fingerprint == groups.node, "left").select("fingerprint", F.coalesce("root", "fingerprint").alias("root"), "least")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, distance: int = 4) -> DataFrame:
     """One row for each row of ``docs``: ``id``, ``fingerprint`` (signed long), ``component_id``.
 
     ``component_id`` is the smallest id among the rows whose fingerprints are reachable over links of at most ``distance`` differing
-    bits, the row's own included; two groups never share one. Null texts count as empty, empty texts have fingerprint 0 and link like
-    any other, repeated rows each return a row, null ids are passed over when the smallest is sought, and an empty table returns no
-    rows. Other columns are never looked at. Copies meet by their fingerprint: a group is as many rows as it has different ones.
+    bits, the row's own included; two groups share one only if the same id stands in both. Null texts count as empty, empty texts have
+    fingerprint 0 and link like any other, repeated rows each return a row, null ids are passed over when the smallest is sought, and
+    an empty table returns no rows. Other columns are never looked at. Copies meet by their fingerprint: a group is as many rows as it
+    has different ones.
     """
     each = cut(fingerprints(docs, id_col, text_col, shingle))
     prints = cut(each.groupBy("fingerprint").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")))
-    groups = components(links(prints.select("fingerprint", "n"), distance))
-    rooted = prints.join(groups, prints.fingerprint == groups.node, "left").select("fingerprint", F.coalesce("root", "fingerprint").alias("root"), "least")
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = cut(rooted.join(smallest, "root").select("fingerprint", "component_id"))
+    found = rooted(prints, distance)
+    smallest = found.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = cut(found.join(smallest, "root").select("fingerprint", "component_id"))
     return each.join(named, "fingerprint").select("id", "fingerprint", "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, distance: int = 4) -> DataFrame:
+    """Of each group of ``near_duplicates`` exactly one row of ``docs``, with all its columns: that of the smallest id.
+
+    Rows are told apart by all their columns (128 bits of hashes), not by their ids: an id that stands in two groups stays in both, a
+    null id counts as larger than all, rows of one id in one group are ordered by hash, and of rows equal in every column one stays.
+    Repeated rows come together before they are shuffled. Null and empty texts form a group; an empty table returns no rows.
+    """
+    names = docs.columns
+    own = [F.xxhash64(F.lit(k), *[F.to_json(F.struct(c)) if t.startswith(("map", "variant")) else F.col(c) for c, t in docs.dtypes], *[F.col(c).isNull() for c in names]) for k in (1, 2)]
+    marked = docs.select(F.struct(*names).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), own[0].alias("key"), own[1].alias("key2"))
+    each = cut(fingerprints(marked, "id", "text", shingle, "key", "key2"))
+    prints = cut(each.groupBy("fingerprint").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key", "key2")).alias("least"), F.count(F.lit(1)).alias("n")))
+    stay = cut(rooted(prints, distance).groupBy("root").agg(F.min("least").alias("least")).select("least.key", "least.key2"))
+    once = marked.groupBy("key", "key2").agg(F.first("row").alias("row"))
+    return once.join(stay, ["key", "key2"], "left_semi").select("row.*")

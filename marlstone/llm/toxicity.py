@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlstone.llm.common import map_columns
+from marlstone.llm.common import map_columns, pieces, release
 
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Rows of the embedding table, its width, filter widths, filters of each width.
@@ -29,9 +29,9 @@ PARTS = 1 + len(BEGINNINGS)
 #: A feature of fewer training documents than this says nothing.
 LEAST_DOCS = 4
 #: Words that a worker remembers.
-REMEMBERED = 120_000
-#: Text bytes that are scored at once: a token takes some hundred bytes while it is looked at.
-AT_ONCE = 2 << 20
+REMEMBERED = 60_000
+#: Text bytes that are taken up at once, and places whose responses are held at once, however long a text is.
+AT_ONCE, PLACES = 2 << 20, 1 << 17
 #: Frequent words by which a text's language is told.
 FREQUENT = {
     "en": "the and of to in is that it for was with as be this are on not he at by",
@@ -69,21 +69,15 @@ class Words:
         """Feature rows of the words from number ``start`` on."""
         return np.frombuffer(self.rows, np.int32).reshape(-1, PARTS)[start:].copy()
 
-    def flat(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """The texts' words in a row as numbers, gaps after each as wide as the widest filter needs, and where each text starts."""
-        if self.limit is not None and len(self.number) > self.limit:
-            self.__init__(self.limit)
-        number, rows, out, starts = self.number, self.rows, [], []
-        gap = [0] * max(WIDTHS)
-        for words in texts:
-            starts.append(len(out))
-            for w in words:
-                if (k := number.get(w)) is None:
-                    k = number[w] = len(rows) // PARTS
-                    rows.extend(features(w))
-                out.append(k)
-            out += gap
-        return np.array(out, np.int64), np.array(starts, np.int64)
+    def add(self, words: list[str], out: array) -> None:
+        """Puts the numbers of a text's words after those in ``out``, and a gap as wide as the widest filter needs."""
+        number, rows = self.number, self.rows
+        for w in words:
+            if (k := number.get(w)) is None:
+                k = number[w] = len(rows) // PARTS
+                rows.extend(features(w))
+            out.append(k)
+        out.extend([0] * max(WIDTHS))
 
 
 def slots() -> list[tuple[int, int]]:
@@ -91,6 +85,12 @@ def slots() -> list[tuple[int, int]]:
     return [(w, j) for w in WIDTHS for j in range(w)]
 
 
+def gaps(starts: np.ndarray, size: int) -> np.ndarray:
+    """The places in the gaps after texts from which a filter would reach into the next text."""
+    ends = np.append(starts[1:], size)
+    return np.concatenate([ends - j for j in range(1, max(WIDTHS))])
+
+
 @dataclass
 class Classifier:
     """``embed``: feature rows; ``filters``: for each width and offset a (WIDE, FILTERS) matrix; ``bias`` of each filter; ``out``."""
@@ -112,16 +112,30 @@ class Classifier:
                 table = vectors @ self.filters[first + j]
                 response[: len(flat) - j] += table[flat[j:]]
             response += self.bias[k]
+            response[gaps(starts, len(flat))] = 0
             made.append(np.maximum.reduceat(response, starts, axis=0))
             if where:
                 at.append(np.array([s + response[s:e].argmax(axis=0) for s, e in zip(starts, ends, strict=True)]))
         most = np.maximum(np.concatenate(made, axis=1), 0)
         return (most, at) if where else most
 
-    def logits(self, texts: list[list[str]], known: Words) -> np.ndarray:
-        flat, starts = known.flat(texts)
-        vectors = self.vectors(known)
-        return self.pooled(vectors, flat, starts) @ self.out[:-1] + self.out[-1]
+    def most(self, vectors: np.ndarray, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The largest responses alone, some places at a time."""
+        out = np.zeros((len(starts), len(WIDTHS) * FILTERS), np.float32)
+        tables, beyond = [vectors @ f for f in self.filters], np.sort(gaps(starts, len(flat)))
+        for a in range(0, len(flat), PLACES):
+            b = min(a + PLACES, len(flat))
+            first, after = np.searchsorted(starts, a, "right") - 1, np.searchsorted(starts, b)
+            cuts = np.append(0, starts[first + 1 : after] - a)
+            for k, w in enumerate(WIDTHS):
+                response = np.repeat(self.bias[k][None], b - a, axis=0)
+                for j in range(w):
+                    seen = flat[a + j : b + j]
+                    response[: len(seen)] += tables[sum(WIDTHS[:k]) + j][seen]
+                response[beyond[np.searchsorted(beyond, a) : np.searchsorted(beyond, b)] - a] = 0
+                own = out[first:after, k * FILTERS : (k + 1) * FILTERS]
+                np.maximum(own, np.maximum.reduceat(response, cuts, axis=0), out=own)
+        return out
 
     def vectors(self, known: Words) -> np.ndarray:
         """All known words' vectors, grown as words are added."""
@@ -131,22 +145,32 @@ class Classifier:
         return known.held
 
     def scores(self, texts: list[str | None], known: Words) -> np.ndarray:
-        words = [LETTERS.findall((t or "").lower()) for t in texts]
-        z = self.logits(words, known) - np.array([self.shift.get(language(w), self.shift.get("", 0.0)) for w in words])
+        """A score for each text. Its words become numbers at once: as strings they would take many times its length."""
+        if known.limit is not None and len(known.number) > known.limit:
+            known.__init__(known.limit)
+        flat, starts, shift = array("i"), [], []
+        for t in texts:
+            words = LETTERS.findall((t or "").lower())
+            starts.append(len(flat))
+            shift.append(self.shift.get(language(words), self.shift.get("", 0.0)))
+            known.add(words, flat)
+        z = self.most(self.vectors(known), np.frombuffer(flat, np.int32), np.array(starts, np.int64)) @ self.out[:-1] + self.out[-1] - np.array(shift)
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
 def fit(texts: list[str], labels: list[int], seed: int = 7, passes: int = 8, batch: int = 24, rate: float = 0.1, forget: float = 0.3, hide: float = 0.5) -> Classifier:
     """A classifier from labelled texts, by Adagrad; every fifth text only sets the thresholds.
 
-    Largest responses pass gradients to the one place they come from, so a step touches few rows of the table.
+    Without texts, or with one label alone, nothing can be told apart: such a classifier scores every text alike, far below 0.5, so
+    that no document is rejected for it. Empty texts are learned from as texts without words. Largest responses pass gradients to the one place they come from, so a step touches few rows of the table.
     """
     rnd = np.random.default_rng(seed)
     y = np.array(labels, np.float32)
     known, flats, langs = Words(limit=None), [], []
     for t in texts:  # a text's words are numbers at once: as strings they would fill the driver
         words = LETTERS.findall(t.lower())
-        flats.append(known.flat([words])[0].astype(np.int32))
+        known.add(words, own := array("i"))
+        flats.append(np.frombuffer(own, np.int32))
         langs.append(language(words))
     rows_of = known.table()
     counts = np.zeros(ROWS, np.int32)
@@ -159,9 +183,9 @@ def fit(texts: list[str], labels: list[int], seed: int = 7, passes: int = 8, bat
         (rnd.normal(0, 0.3, (ROWS, WIDE)) * kept).astype(np.float32), rnd.normal(0, 0.3, (n_slots, WIDE, FILTERS)).astype(np.float32),
         np.zeros((len(WIDTHS), FILTERS), np.float32), np.append(rnd.normal(0, 0.1, n_out), -1.0).astype(np.float32),
     )
-    if not len(y) or y.min() == y.max():  # nothing to tell apart
+    if not len(y) or y.min() == y.max():  # nothing to tell apart, so nothing to reject
         model.out[:] = 0
-        model.out[-1] = 0 if not len(y) else (5 if y[0] else -5)
+        model.out[-1] = -5
         return model
     held_out = np.arange(len(y)) % 5 == 0
     train = np.flatnonzero(~held_out)
@@ -240,7 +264,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """A classifier from the labelled rows that are not held out; of label 0 and 1 at most ``most`` each, by a hash of their ids.
 
     Rows whose id, label or text is null are passed over; an id with several labels counts as the highest, several texts of an id as the
-    first in order. Empty tables give a classifier that scores everything 0.5.
+    first in order. Tables without labels to learn from, or with one label alone, give a classifier that scores everything below 0.5.
     """
     wanted = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & ~held_out(id_col)).groupBy(id_col).agg(F.max(label_col).alias("_label"))
     order = F.md5(F.col(id_col).cast("string"))
@@ -271,12 +295,8 @@ def clean(docs: DataFrame, model: Classifier, text_col: str = "text", at: float
     place = names.index(text_col)
 
     def run(batches):
-        from marlstone.llm.common import pieces
-
         for batch in (p for whole in batches for p in pieces(whole, AT_ONCE)):
             yield batch.filter(pa.array(model.scores(batch.column(place).to_pylist(), known) < at))
+        release()
 
     return docs.mapInArrow(run, schema)
-
-
-
