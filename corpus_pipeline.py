@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm import linededup, mixing, piece_bpe, queries, simhash, toxicity
-from marlstone.llm.common import cut, documents, scratch
+from marlstone.llm.common import documents, scratch
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -32,10 +32,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document with the smallest id; of rows that share that id, all stay that differ."""
-    found = simhash.near_duplicates(docs.select("doc_id", "text"), shingle=4, distance=4)
-    gone = cut(found.where(F.col("id") != F.col("component_id")).select(F.col("id").alias("_gone")).distinct())
-    return docs.join(gone, docs.doc_id == gone._gone, "left_anti").select(*COLUMNS)
+    """Of each group of linked fingerprints the row of the smallest id, rows told apart by all their columns."""
+    return simhash.one_of_each(docs.select(*COLUMNS), shingle=4, distance=4)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
