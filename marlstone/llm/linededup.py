@@ -109,7 +109,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = docs.where(text.isNotNull()).select(id_.alias("id"), F.xxhash64(text).alias("mark"), F.explode(F.concat(parts, longer)).alias("c"))
     gone = kept(repeats(own).groupBy("id", "mark").agg(F.collect_set(F.struct("first", "until")).alias("gone")))
     held = docs.drop("lines", "removed_lines").withColumn("_mark", F.xxhash64(text))
-    many = gone.select(F.col("id").alias("_id"), F.col("mark").alias("_other"), "gone")
+    many = gone.select(F.col("id").alias("_id"), F.col("mark").alias("_other"), "gone").hint("merge")
     held = held.join(many, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_other")), "left")
     n = F.coalesce(F.regexp_count(text, F.lit("\n")) + 1, F.lit(0))
     stay = F.array_except(F.sequence(F.lit(0), n - 1), F.flatten(F.transform("gone", lambda g: F.sequence(g["first"], g["until"]))))
