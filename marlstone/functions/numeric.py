@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,17 +53,27 @@ def minus_log10(p: Column) -> Column:
     return -F.log10(F.greatest(p, F.lit(1e-300))) + F.lit(0.0)
 
 
+def distribution(p: np.ndarray) -> np.ndarray:
+    """The distribution of a sum of independent 0/1 variables: halves are convolved, so that n of them take few steps."""
+    if len(p) > 64:
+        half = len(p) // 2
+        return np.convolve(distribution(p[:half]), distribution(p[half:]))
+    out = np.ones(1)
+    for q in p:
+        out = np.append(out * (1 - q), 0.0) + np.append(0.0, out * q)
+    return out
+
+
 def tail(probabilities: Column, k: Column) -> Column:
-    """P(X >= k) for the sum X of independent 0/1 variables: the distribution grows by one variable at a time, exactly."""
+    """P(X >= k) for the sum X of independent 0/1 variables, exactly: 1 for k = 0, null for null. Arrow batches; the work grows with the
+    square of a row's variables, in numpy's loops."""
+    from pyspark.sql.functions import pandas_udf
 
-    def grown(d: Column, p: Column) -> Column:
-        miss = F.concat(F.transform(d, lambda q: q * (1 - p)), F.array(F.lit(0.0)))
-        hit = F.concat(F.array(F.lit(0.0)), F.transform(d, lambda q: q * p))
-        return F.zip_with(miss, hit, lambda a, b: a + b)
+    @pandas_udf("double")
+    def upper(ps: pd.Series, ks: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None or n is None or n != n else 1.0 if n <= 0 else float(min(1.0, max(0.0, distribution(np.asarray(p))[int(n) :].sum()))) for p, n in zip(ps, ks, strict=True)], dtype="float64")
 
-    whole = F.aggregate(probabilities, F.array(F.lit(1.0)), grown)
-    upper = F.slice(whole, k.cast("int") + 1, F.greatest(F.lit(0), F.size(whole) - k.cast("int")))
-    return clip01(F.aggregate(upper, F.lit(0.0), lambda s, x: s + x))
+    return upper(probabilities, k)
 
 
 def missing_rate_bound(n: Column) -> Column:

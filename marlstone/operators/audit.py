@@ -5,19 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.operators.ranking import ranked
+
 
 def fingerprints(df: DataFrame, chunk: int = 100_000) -> DataFrame:
     """``column``, ``chunk``, ``md5`` of each column's values in the rows' total order, by chunks of ``chunk`` rows.
 
     Rows are ranked in sorted ranges whose sizes are added up, so the order is total but no task holds the table.
     """
-    text = {c: F.col(c).cast("string") for c in df.columns}
-    order = [t.asc_nulls_first() for t in text.values()]
-    held = df.select(*[t.alias(c) for c, t in text.items()]).repartitionByRange(*[F.col(c).asc_nulls_first() for c in df.columns]).withColumn("_part", F.spark_partition_id())
-    counts = held.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    own = F.row_number().over(Window.partitionBy("_part").orderBy(*[F.col(c).asc_nulls_first() for c in df.columns]))
-    placed = held.withColumn("_own", own).join(F.broadcast(counts), "_part").withColumn("_place", F.col("_own") + F.col("_before"))
-    del order
+    text = df.select(*[F.col(c).cast("string").alias(c) for c in df.columns])
+    placed = ranked(text, *[F.col(c).asc_nulls_first() for c in df.columns], name="_place")
     cells = placed.select("_place", F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.coalesce(c, F.lit("<NULL>")).alias("v")) for c in df.columns])).alias("x")).select("_place", "x.column", "x.v")
     parts = cells.groupBy("column", F.floor(F.col("_place") / chunk).alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("_place", "v"))).alias("vs"))
     return parts.select("column", "chunk", F.md5(F.array_join(F.transform("vs", lambda x: x["v"]), "\x1f")).alias("md5"))
@@ -44,6 +41,13 @@ def unresolved(markets: DataFrame) -> DataFrame:
     return markets.where("resolved IS NULL").select("market")
 
 
+def resolved_only(markets: DataFrame) -> DataFrame:
+    """``markets`` if each has a resolution; else an error that says how many lack one."""
+    if lacking := unresolved(markets).count():
+        raise ValueError(f"{lacking} markets have no resolution: scores must not be made")
+    return markets
+
+
 def volume_check(fills: DataFrame, markets: DataFrame, tolerance: float = 0.01) -> DataFrame:
     """Whether taker shares come within ``tolerance`` of the volume that a market reports (``volume``)."""
     from marlstone.functions.numeric import size

@@ -6,20 +6,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.numeric import signed_size, size, stake
+from marlstone.operators.ranking import ranked
+
+
+def as_shown(total: str = "total"):
+    """A score as it is shown, to nine places: those that look alike are ties, whatever their last bits."""
+    return F.round(total, 9)
 
 
 def leaderboard(scored: DataFrame, early: DataFrame, scope: str = "all") -> DataFrame:
-    """Wallets by score, then name, with the markets each has traded before resolution. Ranking is one ordered list and so one task at
-    its end; show only its top for large inputs (``limit``)."""
+    """Wallets by score as shown, then name, with the markets each has traded before resolution."""
     hits = early.where("walk = 'all'").select("wallet", "market").distinct().groupBy("wallet").agg(F.count(F.lit(1)).alias("markets_hit"))
-    own = scored.where(F.col("scope") == scope).join(hits, "wallet", "left")
-    place = F.row_number().over(Window.orderBy(F.col("total").desc(), "wallet"))
-    return own.select(place.cast("long").alias("rank"), "wallet", "total", "n_na", F.coalesce("markets_hit", F.lit(0)).alias("markets_hit"))
+    own = scored.where(F.col("scope") == scope).join(hits, "wallet", "left").withColumn("total", as_shown())
+    return ranked(own, F.col("total").desc(), F.col("wallet"), name="rank").select(F.col("rank").cast("long").alias("rank"), "wallet", "total", "n_na", F.coalesce("markets_hit", F.lit(0)).alias("markets_hit"))
 
 
 def top_per_market(scored: DataFrame, n: int = 150) -> DataFrame:
     """The ``n`` best wallets of each market's scope."""
-    own = scored.where("scope NOT LIKE 'event:%' AND scope <> 'all'")
+    own = scored.where("scope NOT LIKE 'event:%' AND scope <> 'all'").withColumn("total", as_shown())
     place = F.row_number().over(Window.partitionBy("scope").orderBy(F.col("total").desc(), "wallet"))
     return own.withColumn("place", place.cast("long")).where(F.col("place") <= n).select(F.col("scope").alias("market"), "wallet", "total", "place")
 

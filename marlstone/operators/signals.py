@@ -104,7 +104,8 @@ def improbable(held: DataFrame, p: Params) -> DataFrame:
         F.count(F.when(fair, 1)).alias("n"), F.count(F.when(F.col("void"), 1)).alias("void_bets"), F.count(F.when(fair & F.col("won"), 1)).alias("k"), F.sort_array(F.collect_list(F.when(fair, chance))).alias("ps")
     )
     reason = ladder((F.col("n") == 0, "no_winner"), (F.col("n") < p.wins_least, "n_resolved<min"))
-    per = per.withColumn("reason", reason).withColumn("pval", F.when(F.col("reason").isNull(), tail(F.col("ps"), F.col("k"))))
+    some = F.when(F.col("reason").isNull() & (F.col("k") > 0), F.col("k"))
+    per = per.withColumn("reason", reason).withColumn("pval", F.when(F.col("reason").isNull(), F.coalesce(tail(F.when(some.isNotNull(), F.col("ps")), some), F.lit(1.0))))
     raw = minus_log10(F.col("pval"))
     said = F.when(F.col("reason").isNull(), F.to_json(F.struct("n", "k", "pval"))).otherwise(F.to_json(F.struct("n", "void_bets")))
     return per.select("scope", "wallet", *row(raw, clip01(raw / p.wins_full), F.col("reason"), said))

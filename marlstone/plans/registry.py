@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import anchors as anchor_time
@@ -33,6 +33,11 @@ def signal(df: DataFrame) -> DataFrame:
     return rounded(df.select("scope", "wallet", "raw", "component", "na"), "raw", "component")
 
 
+def key_of(wallet: str) -> Column:
+    """The number in a wallet's name."""
+    return F.substring(wallet, 2, 20).cast("long")
+
+
 def events(w: World) -> DataFrame:
     """The stream table as buys: users are wallets, event types tokens."""
     return w.t("events").select(F.col("user_id").alias("wallet"), F.col("event_type").alias("market"), F.col("event_type").alias("token"), num.seconds("ts").alias("sec"), "value", "props", "event_id")
@@ -183,7 +188,10 @@ def score_override(w: World) -> DataFrame:
 def score_recompute(w: World) -> DataFrame:
     held = dense(w)
     applied = scoring.applied_weights(held, WEIGHTS)
-    return scoring.recompute_differences(scoring.scores(held, w.users, applied), held, applied)
+    stored = scoring.scores(held, w.users, applied)
+    planted = key_of("wallet") % 41 == 0  # faults that the check must find, and nothing else
+    stored = stored.withColumn("total", F.when(planted, F.col("total") + 0.001).otherwise(F.col("total")))
+    return rounded(scoring.recompute_differences(stored, held, applied), "total")
 
 
 @query
@@ -204,9 +212,9 @@ def shown_signals(w: World) -> DataFrame:
 
 @query
 def full_scores(w: World) -> DataFrame:
-    """All eight signals end to end; each is compared with SQL by a query of its own."""
+    """All eight signals end to end."""
     held = dense(w)
-    return scoring.scores(held, w.users, scoring.applied_weights(held, WEIGHTS))
+    return rounded(scoring.scores(held, w.users, scoring.applied_weights(held, WEIGHTS)), "total", "total_passed")
 
 
 @query
@@ -219,7 +227,7 @@ def leaderboard(w: World) -> DataFrame:
 def board_page(w: World) -> DataFrame:
     held = dense(w)
     scored = scoring.scores(held, w.users, scoring.applied_weights(held, WEIGHTS)).where("scope = 'all'")
-    return rounded(serving.page(serving.board(scored, 0.1), 2, 25, F.col("total").desc(), "wallet").select("wallet", "total"), "total")
+    return rounded(serving.page(serving.board(scored, 0.1), 2, 25, serving.as_shown().desc(), "wallet").select("wallet", "total"), "total")
 
 
 @query
@@ -309,7 +317,7 @@ def link_parity(w: World) -> DataFrame:
     ends = edges.join(good, "counterparty")
     links = ends.select("wallet", "counterparty").distinct().join(ends.where("natural").select("counterparty", F.col("wallet").alias("other")).distinct(), "counterparty").where("wallet <> other")
     counted = links.join(SIGNALS["S6"](w).where("scope = 'all' AND raw IS NOT NULL").select("wallet"), "wallet", "left_semi")
-    return serving.link_parity(counted, SIGNALS["S6"](w))
+    return serving.link_parity(counted.where(key_of("wallet") % 3 != 0), SIGNALS["S6"](w))  # lists that are lost must be found
 
 
 @query
@@ -343,7 +351,8 @@ def traced_paths(w: World) -> DataFrame:
 
 @query
 def log2_histogram(w: World) -> DataFrame:
-    return graph.activity_histogram(graph.lookup_state(w.lookups, w.seen, w.block))
+    edges = graph.first_hop(w.transfers, w.users, w.stops, w.block)
+    return graph.activity_histogram(graph.population(edges, graph.lookup_state(w.lookups, w.seen, w.block)))
 
 
 @query
@@ -432,7 +441,9 @@ def dup_key_check(w: World) -> DataFrame:
 
 @query
 def na_invariant(w: World) -> DataFrame:
-    return audit.broken_na(dense(w)).select("scope", "wallet", "signal")
+    planted = key_of("wallet") % 53 == 0  # a value beside its reason, and neither of both
+    raw = F.when(~planted | ~F.col("signal").isin("S3", "S4"), F.col("raw")).when(F.col("signal") == "S4", F.lit(0.5))
+    return audit.broken_na(dense(w).withColumn("raw", raw)).select("scope", "wallet", "signal")
 
 
 @query

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +23,17 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
     )
 
 
+def held(df: DataFrame) -> DataFrame:
+    """``df`` computed once, in the folder that all executors share (``spark.checkpoint.dir``; a local session may leave it unset)."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="marlstone-"))
+    return df.checkpoint(eager=True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data directory, by Spark's own reader, so that any file system works."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

@@ -80,7 +80,11 @@ def bypass_list(spark: SparkSession, path: str) -> DataFrame:
 def checked_csv(spark: SparkSession, path: str, columns: dict[str, tuple[str, ...]], optional: tuple[str, ...] = ()) -> DataFrame:
     """A CSV whose headers must be known: ``columns`` maps each name to the headers that may stand for it. Unknown, missing or doubled
     ones are errors."""
-    held = spark.read.csv(path, header=True)
+    return checked(spark.read.csv(path, header=True), columns, optional)
+
+
+def checked(held: DataFrame, columns: dict[str, tuple[str, ...]], optional: tuple[str, ...] = ()) -> DataFrame:
+    """The same for rows read already."""
     place = {h: name for name, heads in columns.items() for h in (name, *heads)}
     if unknown := [h for h in held.columns if h not in place and h not in optional]:
         raise ValueError(f"unknown columns: {unknown}")
@@ -107,6 +111,89 @@ def labelled(spark: SparkSession, path: str, sha256: str | None = None) -> DataF
     return held.select(F.lower("wallet").alias("wallet"), (F.col("label") == "pos").cast("int").alias("label"), "unit")
 
 
+#: The columns of an event file with the older names of two of them, and columns that may stand there unread.
+EVENT_COLUMNS = {
+    "condition_id": (), "event_ts_utc": (), "event_ts_precision": (), "event_tz": ("event_ts_tz",), "hedged_report_ts_utc": (), "hedged_report_ts_precision": ("hedged_report_precision",),
+    "hedged_report_tz": (), "tier_gap": (), "occurrence_ts_precision": (), "event_ts_tz_inferred": (), "hedged_report_tz_inferred": (),
+}
+EVENT_EXTRA = ("question", "event_id_gamma", "class", "market_type", "resolved_outcome", "outcome_determined_by", "event_id", "related_event_id", "reason", "occurrence_ts_utc", "first_report_ts_utc", "event_ts_basis", "spread_minutes", "closedTime", "bound_ok", "retrieved_at")
+
+
+def said(c: str) -> Column:
+    """A text column trimmed; blank is null."""
+    return F.nullif(F.trim(c), F.lit(""))
+
+
+def yes_or_no(c: str) -> Column:
+    """A flag written as a word or digit; null where there is none, an error where it is neither yes nor no."""
+    word = F.lower(said(c))
+    wrong = F.raise_error(F.concat(F.lit(f"{c} is neither yes nor no: "), word)).cast("boolean")
+    return F.when(word.isNull(), F.lit(None).cast("boolean")).when(word.isin("true", "1", "yes"), True).when(word.isin("false", "0", "no"), False).otherwise(wrong)
+
+
+def iso_seconds(c: str) -> Column:
+    """Seconds of an ISO time; without a zone it is UTC. Text that is no time is an error."""
+    text = F.regexp_replace(said(c), r"([+-][0-9]{2})$", "$1:00")
+    made = F.coalesce(F.try_to_timestamp(text), F.when(text.isNotNull(), F.raise_error(F.concat(F.lit(f"{c} is no time: "), text)).cast("timestamp")))
+    return F.unix_seconds(made)
+
+
+def event_times(held: DataFrame) -> DataFrame:
+    """The rows of an event file, read as text, in the form that ``anchors.anchors`` takes. Unknown, missing and doubled columns are
+    errors, and so is a time without a word on whether its zone was inferred."""
+    rows = checked(held, EVENT_COLUMNS, EVENT_EXTRA)
+    term = lambda p, stem: [iso_seconds(f"{stem}_ts_utc").alias(f"{p}_at"), said(f"{stem}_ts_precision").alias(f"{p}_unit")]
+    tier = F.coalesce(F.lower(said("tier_gap")).isin("true", "1", "yes"), F.lit(False))
+    return rows.select(
+        F.lower(F.trim("condition_id")).alias("market"), *term("event", "event"), F.col("event_tz").alias("event_zone"), yes_or_no("event_ts_tz_inferred").alias("event_inferred"),
+        *term("report", "hedged_report"), F.col("hedged_report_tz").alias("report_zone"), yes_or_no("hedged_report_tz_inferred").alias("report_inferred"), tier.alias("gap"), said("occurrence_ts_precision").alias("occurrence_unit"),
+    )
+
+
+BUNDLE = """wallet string, t_snap string, activity_asc struct<status: int, body: struct<data: array<struct<timestamp: bigint>>>>,
+stats struct<status: int, body: struct<data: struct<all_time_pnl: struct<volume_usdc: double>>>>,
+redeems map<string, struct<status: int, body: struct<data: array<struct<timestamp: bigint, transaction_hash: string>>>, next_trade: struct<status: int, body: struct<data: array<struct<timestamp: bigint>>>>>>,
+transfers struct<`in`: struct<status: string, edges: array<struct<hop: int, counterparty: string, first_ts: bigint, first_block: bigint, amount: double, n: bigint, tx: string, log_index: bigint>>>,
+`out`: struct<status: string, edges: array<struct<hop: int, counterparty: string, first_ts: bigint, first_block: bigint, amount: double, n: bigint, tx: string, log_index: bigint>>>>"""
+
+
+def bundles(raw: DataFrame) -> DataFrame:
+    """Saved answers about one wallet each (``body``: JSON) as columns."""
+    return raw.select(F.from_json("body", BUNDLE).alias("b")).select("b.*")
+
+
+def bundle_profiles(held: DataFrame, infra: DataFrame, lower_block: int, window: int) -> DataFrame:
+    """A profile row of each bundle. Funding is the first inbound edge of the first hop that isn't of ``infra``; it may be cut off if it
+    lies within ``window`` blocks of ``lower_block``, or if there is none although the wallet has traded."""
+    asked = lambda c: F.coalesce(F.col(f"{c}.status") == 200, F.lit(False))
+    trades = F.coalesce(F.size("activity_asc.body.data"), F.lit(0)) > 0
+    activity = F.when(~asked("activity_asc"), "unavailable").when(trades, "ok").otherwise("empty")
+    ways = F.array("transfers.in.status", "transfers.out.status")
+    state = F.when(F.array_contains(ways, "capped"), "capped").when(F.array_contains(ways, "unavailable"), "unavailable").otherwise("ok")
+    edges = held.select("wallet", F.explode("transfers.in.edges").alias("e")).select("wallet", "e.*").where("hop = 1 AND counterparty IS NOT NULL AND first_ts IS NOT NULL")
+    first = edges.join(infra.select(F.col("address").alias("counterparty")), "counterparty", "left_anti").groupBy("wallet").agg(F.min(F.struct("first_ts", "first_block")).alias("f"))
+    cut_off = F.coalesce(F.col("f.first_block") <= lower_block + window, F.lit(False)) | (F.col("f.first_ts").isNull() & (activity == "ok"))
+    return held.join(first, "wallet", "left").select(
+        "wallet", F.when(activity == "ok", F.col("activity_asc.body.data")[0]["timestamp"]).alias("first_trade"), F.col("f.first_ts").alias("first_funding"), F.col("f.first_block").alias("first_funding_block"),
+        F.when(asked("stats"), F.col("stats.body.data.all_time_pnl.volume_usdc")).alias("lifetime_volume"), activity.alias("activity_status"), F.when(asked("stats"), "ok").otherwise("unavailable").alias("stats_status"),
+        F.when(state == "ok", "ok").otherwise("unavailable").alias("transfers_status"), state.alias("transfers_detail"), cut_off.alias("truncated"), iso_seconds("t_snap").alias("snap"),
+    )
+
+
+def bundle_redeems(held: DataFrame) -> DataFrame:
+    """The first redeem of each wallet and market and the next trade after it: null where none was seen or the answer failed."""
+    each = held.select("wallet", F.explode("redeems").alias("market", "r")).where("r.status = 200 AND size(r.body.data) > 0")
+    first = F.array_min(F.transform("r.body.data", lambda x: F.struct(x["timestamp"].alias("sec"), x["transaction_hash"].alias("tx"))))
+    after = F.when(F.col("r.next_trade.status") == 200, F.get("r.next_trade.body.data", F.lit(0))["timestamp"])
+    return each.select("wallet", "market", first["sec"].alias("sec"), first["tx"].alias("tx"), after.alias("next_trade"))
+
+
+def bundle_transfers(held: DataFrame) -> DataFrame:
+    """The transfer edges of each bundle, both directions; edges without a counterparty are no edges."""
+    way = lambda d: held.select("wallet", F.lit(d).alias("direction"), F.explode(f"transfers.{d}.edges").alias("e"))
+    return way("in").unionByName(way("out")).select("wallet", "direction", "e.*").where("counterparty IS NOT NULL")
+
+
 def locked_toml(path: str, sha256: str) -> dict:
     """Parameters of a TOML file, if it has the hash it was locked with."""
     with open(path, "rb") as f:

@@ -8,7 +8,7 @@ from marlstone.functions import numeric as num
 from marlstone.operators import graph, ledger, scoring, signals, stats, universe
 from marlstone.operators.universe import Params
 
-END = 1_772_000_000
+END = 1_700_123_456
 P = Params()
 FILL = "wallet string, market string, token string, side string, size double, price double, sec long, walk string"
 
@@ -34,9 +34,10 @@ def one(df, wallet="w1", scope="all"):
 
 
 def test_low_odds(spark):
-    w = World(spark, [("w1", "c", 1, "BUY", 50_000, 0.10, END - 9), ("w2", "c", 1, "BUY", 9_000, 0.10, END - 9), ("w3", "c", 1, "BUY", 5_000_000, 0.25, END - 9), ("w4", "c", 1, "BUY", 50_000, 0.1, END)])
+    w = World(spark, [("w1", "c", 1, "BUY", 80_000, 0.05, END - 1), ("w2", "c", 1, "BUY", 7_000, 0.12, END - 77), ("w3", "c", 1, "BUY", 900_000, 0.31, END - 5), ("w4", "c", 1, "BUY", 80_000, 0.05, END)])
     got = signals.low_odds(w.early, w.scopes, P)
-    assert one(got)["component"] == pytest.approx(math.log10(5) / 2)
+    stake = 80_000 * 0.05
+    assert one(got)["raw"] == stake and one(got)["component"] == pytest.approx(math.log10(stake / 1000) / math.log10(100_000 / 1000))
     assert one(got, "w2")["component"] == 0
     assert {r["wallet"] for r in got.collect()} == {"w1", "w2"}
 
@@ -64,19 +65,32 @@ def test_tail_against_plain_distribution(spark):
     from pyspark.sql import functions as F
 
     assert spark.range(1).select(num.tail(F.array(*map(F.lit, ps)), F.lit(k))).first()[0] == pytest.approx(want)
+    assert spark.range(1).select(num.tail(F.array(*map(F.lit, ps)), F.lit(0))).first()[0] == 1.0
+
+
+def test_distribution_by_halves():
+    import numpy as np
+
+    p = np.random.default_rng(1).random(300)
+    plain = np.ones(1)
+    for q in p:
+        plain = np.append(plain * (1 - q), 0) + np.append(0, plain * q)
+    assert num.distribution(p) == pytest.approx(plain, rel=1e-9)
+    assert num.distribution(np.zeros(0)).tolist() == [1.0]
 
 
 def test_together(spark):
-    buys = [(f"w{i}", "c", 1, "BUY", 20_000, 0.1, 1000 + 60 * i) for i in range(1, 5)] + [("far", "c", 1, "BUY", 20_000, 0.1, 9000), ("dear", "c", 1, "BUY", 20_000, 0.3, 1000)]
+    buys = [(f"w{i}", "c", 1, "BUY", 15_000, 0.08, 7000 + 150 * i) for i in range(1, 4)] + [("far", "c", 1, "BUY", 15_000, 0.08, 20_000), ("dear", "c", 1, "BUY", 15_000, 0.4, 7000)]
     got = signals.together(World(spark, buys).early, World(spark, buys).scopes, P)
-    assert one(got)["raw"] == 3 and one(got)["component"] == pytest.approx(0.6)
+    others = 2
+    assert one(got)["raw"] == others and one(got)["component"] == pytest.approx(others / P.together_full)
     assert one(got, "far")["raw"] == 0
 
 
 def test_before_event(spark):
-    w = World(spark, [("w1", "c", 1, "BUY", 40_000, 0.5, END - 4 * 3600), ("w2", "c", 1, "BUY", 40_000, 0.5, END - 40 * 3600), ("w3", "d", 1, "BUY", 10, 0.5, 5), ("w4", "v", 1, "BUY", 10, 0.5, 5)])
+    w = World(spark, [("w1", "c", 1, "BUY", 30_000, 0.4, END - 6 * 3600), ("w2", "c", 1, "BUY", 30_000, 0.4, END - 50 * 3600), ("w3", "d", 1, "BUY", 10, 0.5, 5), ("w4", "v", 1, "BUY", 10, 0.5, 5)])
     got = signals.before_event(w.early, w.scopes, w.tokens, w.markets, w.anchors, P)
-    assert one(got)["component"] == pytest.approx(math.log10(20) / math.log10(50))
+    assert one(got)["raw"] == 1 and one(got)["component"] == pytest.approx(math.log10(30_000 * 0.4 / P.lead_floor) / math.log10(P.lead_cap / P.lead_floor))
     assert one(got, "w2")["component"] == 0
     assert one(got, "w3")["na"] == "no_event_ts" and one(got, "w4")["na"] == "no_winner"
 
@@ -127,7 +141,7 @@ def test_links_by_activity(spark):
     assert at(19)["w3"] == (0, False)
 
 
-@pytest.mark.parametrize(("counts", "want"), [([268, 425, 267, 235, 158, 127, 52, 50, 301], (63, 1)), ([8, 4, 2, 1, 0, 0, 0, 0, 0], (16, 0)), ([1, 1, 1, 1, 1, 1, 1, 1, 1], (256, 0))])
+@pytest.mark.parametrize(("counts", "want"), [([5, 40, 30, 28, 25, 12, 11, 9, 2], (31, 1)), ([9, 9, 4, 4, 0, 0, 0, 0, 7], (16, 0)), ([3, 3, 3, 3, 3, 3, 3, 3, 3], (256, 0)), ([0, 1, 6, 3, 3, 3, 3, 1, 0], (127, 2))])
 def test_knee(spark, counts, want):
     assert graph.knee(spark.createDataFrame(list(enumerate(counts)), "bin int, n long")) == want
 
@@ -139,13 +153,13 @@ def test_profit(spark):
 
 
 def test_dense_scores_and_checks(spark):
-    w = World(spark, [("w1", "c", 1, "BUY", 50_000, 0.10, END - 9), ("w2", "c", 1, "BUY", 1, 0.5, END - 9)])
+    w = World(spark, [("w1", "c", 1, "BUY", 80_000, 0.05, END - 1), ("w2", "c", 1, "BUY", 2, 0.4, END - 1)])
     held = signals.dense(w.users, {"S3": signals.low_odds(w.early, w.scopes, P), "S7": signals.together(w.early, w.scopes, P)})
     assert held.count() == 8 * w.users.count()
     applied = scoring.applied_weights(held, {s: 1.0 for s in signals.SIGNALS})
     assert applied == {s: 0.5 if s in ("S3", "S7") else 0.0 for s in signals.SIGNALS}
     scored = scoring.scores(held, w.users, applied)
-    assert one(scored)["total"] == pytest.approx(math.log10(5) / 4) and one(scored, "w2")["total_passed"] is None
+    assert one(scored)["total"] == pytest.approx(math.log10(80_000 * 0.05 / 1000) / 2 / 2) and one(scored, "w2")["total_passed"] is None
     assert scoring.recompute_differences(scored, held, applied).count() == 0
     with pytest.raises(ValueError):
         scoring.applied_weights(held, {"S3": 0.0, "S7": 0.0})
