@@ -1,8 +1,10 @@
 """Personal data: patterns, and a skip-chain conditional random field that carries their labels to distant similar tokens.
 
 The field's variables are a document's tokens with a digit or an at sign. Neighbouring ones share chain potentials; tokens with equal
-or similar content anywhere in the document share skip potentials. Potentials are trained piece by piece on spans that the patterns
-find; loopy belief propagation over chain and skip edges gives each token's label. Its spans are added where no pattern found one.
+or similar content anywhere in the document are tied to one entity each, a variable without evidence of its own, by skip potentials. So
+any two of them are two edges apart, however far they stand in the text. Potentials are trained piece by piece on spans that the
+patterns find; loopy belief propagation over chain and skip edges gives each token's label. Its spans are added where no pattern
+found one.
 """
 
 from __future__ import annotations
@@ -75,6 +77,8 @@ def patterns(text: str) -> list[Span]:
 
 OUT = len(KINDS)
 LABELS = OUT + 1
+#: How many observations each token has.
+OBSERVED = 8
 
 
 def observations(token: str, before: str, after: str) -> list[str]:
@@ -85,27 +89,32 @@ def observations(token: str, before: str, after: str) -> list[str]:
 
 
 def content(token: str) -> list[str]:
-    """Keys that similar tokens share: all its letters and digits, and its digits if there are many, by their last seven."""
-    plain = re.sub(r"[\W_]+", "", token).lower()
+    """Keys that similar tokens share: all its letters and digits, the part before an at sign, and its last seven digits. A key of fewer
+    than five characters ties nothing: single digits stand everywhere."""
+    plain = lambda x: re.sub(r"[\W_]+", "", x).lower()
     digits = re.sub(r"[^0-9]+", "", token)
-    return [f"={plain}"] + ([f"#{digits[-7:]}"] if len(digits) >= 7 else [])
+    keys = {plain(token), plain(token.split("@")[0])} | ({f"#{digits[-7:]}"} if len(digits) >= 7 else set())
+    return sorted(k for k in keys if len(k) >= 5)
 
 
 @dataclass
 class Graph:
-    """Tokens of some documents: which document, start, end, what each sees; ``chain`` and ``skip`` edges as pairs of tokens."""
+    """Tokens of some documents: which document, start, end, what each sees; ``chain`` edges between tokens, ``skip`` edges from a token
+    to an entity, the entities numbered after the tokens."""
 
     where: list[tuple[int, int, int]]
     seen: list[list[str]]
     chain: list[tuple[int, int]]
     skip: list[tuple[int, int]]
+    entities: int = 0
 
 
 def graph(texts: list[tuple[int, str]]) -> Graph:
-    """Skip edges tie a token to the one before it of the same content, so that a token repeated n times has n - 1 of them."""
+    """An entity stands for each key that two tokens or more of a document share."""
     g = Graph([], [], [], [])
+    shared: list[list[int]] = []
     for doc, text in texts:
-        last: dict[str, int] = {}
+        keys: dict[str, list[int]] = {}
         found = [(m.start(), m.end()) for m in TOKEN.finditer(text)]
         for k, (a, b) in enumerate(found):
             me, token = len(g.where), text[a:b]
@@ -117,9 +126,10 @@ def graph(texts: list[tuple[int, str]]) -> Graph:
             if near(k - 1, k):
                 g.chain.append((me - 1, me))
             for key in content(token):
-                if key in last:
-                    g.skip.append((last[key], me))
-                last[key] = me
+                keys.setdefault(key, []).append(me)
+        shared += [own for own in keys.values() if len(own) > 1]
+    g.skip = [(i, len(g.where) + e) for e, own in enumerate(shared) for i in own]
+    g.entities = len(shared)
     return g
 
 
@@ -135,12 +145,13 @@ class Field:
         zero = np.zeros(LABELS)
         return np.array([sum((self.own.get(o, zero) for o in seen), zero) for seen in g.seen]).reshape(-1, LABELS)
 
-    def marginals(self, g: Graph, rounds: int = 12, damp: float = 0.3) -> np.ndarray:
-        """Loopy belief propagation: all messages at once, damped, for a fixed number of rounds."""
-        unary = self.unary(g)
+    def marginals(self, g: Graph, rounds: int = 300, damp: float = 0.3, settled: float = 1e-4) -> np.ndarray:
+        """The tokens' beliefs by loopy propagation: all messages at once, damped, until they settle. A chain or cycle that has not
+        settled after ``rounds`` is taken as it is then; near each token messages have long met."""
+        unary = np.concatenate([self.unary(g), np.zeros((g.entities, LABELS))])
         edges = np.array([*g.chain, *g.skip], np.int64).reshape(-1, 2)
         if not len(edges):
-            return softmax(unary)
+            return softmax(unary)  # no edge, so no entity
         potential = np.concatenate([np.repeat(self.chain[None], len(g.chain), axis=0), np.repeat(self.skip[None], len(g.skip), axis=0)])
         source, target = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
         potential = np.concatenate([potential, potential.transpose(0, 2, 1)])
@@ -152,10 +163,13 @@ class Field:
             cavity = belief[source] - message[opposite]
             new = np.logaddexp.reduce(cavity[:, :, None] + potential, axis=1)
             new -= np.logaddexp.reduce(new, axis=1, keepdims=True)
+            moved = np.abs(new - message).max()
             message = damp * message + (1 - damp) * new
+            if moved < settled:
+                break
         belief = unary.copy()
         np.add.at(belief, target, message)
-        return softmax(belief)
+        return softmax(belief[: len(g.where)])
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -175,36 +189,55 @@ def labels_of(g: Graph, spans: dict[int, list[Span]]) -> np.ndarray:
 
 def fit(texts: list[str], passes: int = 30, rate: float = 0.5) -> Field:
     """Piecewise training on pattern spans: the tokens' own potentials by logistic regression, edges by how much oftener two labels
-    meet there than by chance."""
+    meet there than by chance.
+
+    A token outside all spans that shares an entity with one inside is no example of either label: that it is personal data as well is
+    what the field is there to find out. Texts without tokens, and no texts, give a field that labels nothing.
+    """
     g = graph(list(enumerate(texts)))
     y = labels_of(g, {i: patterns(t) for i, t in enumerate(texts)})
+    members: dict[int, list[int]] = {}
+    for i, entity in g.skip:
+        members.setdefault(entity, []).append(i)
+    open_ = np.zeros(len(y), bool)
+    for own in members.values():
+        if (y[own] != OUT).any():
+            open_[[i for i in own if y[i] == OUT]] = True
     names = sorted({o for seen in g.seen for o in seen})
     number = {o: i for i, o in enumerate(names)}
     own = np.zeros((len(names), LABELS))
-    x = np.array([[number[o] for o in seen] for seen in g.seen], np.int64).reshape(len(g.seen), -1)
+    x = np.array([[number[o] for o in seen] for seen in g.seen], np.int64).reshape(len(g.seen), OBSERVED)[~open_]
+    known = y[~open_]
     sums = np.full_like(own, 1e-2)
     for _ in range(passes if len(x) else 0):
         error = softmax(own[x].sum(axis=1))
-        error[np.arange(len(y)), y] -= 1
-        slope = 1e-3 * own * len(y) / max(len(names), 1)
+        error[np.arange(len(known)), known] -= 1
+        slope = 1e-3 * own * len(known) / max(len(names), 1)
         np.add.at(slope, x.ravel(), np.repeat(error, x.shape[1], axis=0))
         sums += slope**2
         own -= rate * slope / np.sqrt(sums)
-    share = (np.bincount(y, minlength=LABELS) + 1) / (len(y) + LABELS)
-
-    def pair(edges: list[tuple[int, int]], alike: float) -> np.ndarray:
-        # What wasn't seen counts as by chance; similar tokens are taken to agree somewhat oftener from the start.
-        met = 5 * (np.outer(share, share) * (1 - alike) + np.diag(share) * alike)
-        for i, j in edges:
-            met[y[i], y[j]] += 0.5
-            met[y[j], y[i]] += 0.5
+    share = (np.bincount(known, minlength=LABELS) + 1) / (len(known) + LABELS)
+
+    def pair(met: np.ndarray, alike: float) -> np.ndarray:
+        # What wasn't seen counts as by chance; similar tokens are taken to agree nearly always from the start.
+        met = met + 5 * (np.outer(share, share) * (1 - alike) + np.diag(share) * alike)
         return np.clip(np.log(met / met.sum()) - np.log(np.outer(share, share)), -4, 4)
 
-    return Field(dict(zip(names, own, strict=True)), pair(g.chain, 0.0), pair(g.skip, 0.5))
+    beside, together = np.zeros((LABELS, LABELS)), np.zeros((LABELS, LABELS))
+    for i, j in g.chain:
+        if not (open_[i] or open_[j]):
+            beside[y[i], y[j]] += 0.5
+            beside[y[j], y[i]] += 0.5
+    for group in members.values():  # of each entity the pairs of its tokens, as many as it has tokens in all
+        n = np.bincount(y[[i for i in group if not open_[i]]], minlength=LABELS)
+        if n.sum() > 1:
+            together += (np.outer(n, n) - np.diag(n)) / (n.sum() - 1)
+    return Field(dict(zip(names, own, strict=True)), pair(beside, 0.0), pair(together, 0.95))
 
 
 def learn(docs: DataFrame, text_col: str = "text", most: int = 2000) -> Field:
-    """A field from at most ``most`` different texts with a digit or an at sign, those whose hash comes first."""
+    """A field from at most ``most`` different texts with a digit or an at sign, those whose hash comes first. Null texts are passed over;
+    an empty table gives a field that adds nothing."""
     # Hashes first: were texts ranked, every task would send the driver its own first ones.
     able = docs.where(F.col(text_col).rlike("[0-9@]")).select(F.xxhash64(text_col).alias("o"), F.col(text_col).alias("t"))
     first = docs.sparkSession.createDataFrame(able.select("o").distinct().orderBy("o").limit(most).collect(), "o long")
@@ -213,10 +246,11 @@ def learn(docs: DataFrame, text_col: str = "text", most: int = 2000) -> Field:
 
 
 def spans(texts: list[str], field: Field, sure: float = 0.5) -> tuple[list[list[Span]], list[list[Span]]]:
-    """For each text the pattern spans, and all: also runs of tokens that the field labels alike and no pattern span overlaps."""
+    """For each text the pattern spans, and all: also runs of tokens that the field labels alike, where no pattern span overlaps them
+    and nothing in them speaks against their kind."""
     base = [patterns(t) for t in texts]
     g = graph([(i, t) for i, t in enumerate(texts) if DIGIT.search(t) or "@" in t])
-    every = [list(b) for b in base]
+    added: list[list[Span]] = [[] for _ in texts]
     if g.where:
         p = field.marginals(g)
         chained = {b: a for a, b in g.chain}
@@ -225,14 +259,27 @@ def spans(texts: list[str], field: Field, sure: float = 0.5) -> tuple[list[list[
         at = -1
         for i, (doc, a, b) in enumerate(g.where):
             if open_ and chained.get(i) == at and label[i] == open_[1] and not any(s[0] < b and s[2] > a for s in base[doc]):
-                open_ = every[doc][-1] = (open_[0], open_[1], b)
+                open_ = added[doc][-1] = (open_[0], open_[1], b)
                 at = i
                 continue
             open_ = None
             if label[i] != OUT and not any(s[0] < b and s[2] > a for s in base[doc]):
                 open_, at = (a, int(label[i]), b), i
-                every[doc].append(open_)
-    return base, [sorted((s if s in own else trimmed(t, s)) for s in e) for t, own, e in zip(texts, base, every, strict=True)]
+                added[doc].append(open_)
+    every = [sorted([*b, *(s for s in (trimmed(t, x) for x in own) if able(t[s[0] : s[2]], s[1]))]) for t, b, own in zip(texts, base, added, strict=True)]
+    return base, every
+
+
+def able(said: str, kind: int) -> bool:
+    """Whether a span could be of its kind: a card's digits pass the check sum, an address has four parts, a phone number seven digits."""
+    digits = "".join(DIGIT.findall(said))
+    if KINDS[kind] == "card":
+        return 14 <= len(digits) <= 19 and luhn(digits)
+    if KINDS[kind] == "ip":
+        return bool(IP.search(said)) and all(int(x) <= 255 for x in IP.search(said)[0].split(".")[:4] if len(x) < 9)
+    if KINDS[kind] == "phone":
+        return 7 <= len(digits) <= 15
+    return sum(c.isalnum() for c in said) >= 5
 
 
 def trimmed(text: str, span: Span) -> Span:
