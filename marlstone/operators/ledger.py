@@ -28,6 +28,14 @@ def profit_by_scope(per_market: DataFrame, users: DataFrame, scopes: DataFrame)
     return sums.groupBy("scope", "wallet").agg(F.count(F.when(fair, 1)).alias("n_markets"), F.count(F.when(F.col("void"), 1)).alias("n_void"), total("cash_in"), total("cash_out"), total("payout"), total("profit"), F.coalesce(F.bool_or(F.when(fair, F.col("negative_net"))), F.lit(False)).alias("negative_net"))
 
 
+def crosschecked(per_market: DataFrame, positions: DataFrame, fees: DataFrame) -> DataFrame:
+    """``per_market`` with ``positions_total``, the sum that the wallet's own positions state for the market (null where there is none), and
+    ``fees_enabled`` of the market (no where it isn't known). Both are shown beside the profit and change nothing."""
+    stated = positions.groupBy("wallet", "market").agg(F.sum(F.col("total_pnl").cast("decimal(38,6)")).alias("positions_total"))
+    held = per_market.join(stated, ["wallet", "market"], "left").join(fees.select("market", "fees_enabled"), "market", "left")
+    return held.withColumn("fees_enabled", F.coalesce("fees_enabled", F.lit(False)))
+
+
 def fill_summary(fills: DataFrame, scopes: DataFrame, markets: DataFrame, *keys: str) -> DataFrame:
     """Fills at any time and before resolution, and shares, by scope, walk and ``keys``; markets are added up before scopes."""
     held = fills.join(markets.select("market", "resolved"), "market")

@@ -197,7 +197,7 @@ def score_recompute(w: World) -> DataFrame:
 @query
 def contributions(w: World) -> DataFrame:
     held = dense(w).where("scope = 'all'")
-    return rounded(scoring.contributions(held, scoring.applied_weights(held, WEIGHTS)).select("scope", "wallet", "signal", "part"), "part")
+    return rounded(scoring.contributions(held, scoring.applied_weights(held, WEIGHTS)), "part")
 
 
 @query
@@ -562,6 +562,94 @@ def top_buyers(w: World) -> DataFrame:
     return sums.withColumn("place", place.cast("long")).where("place <= 40").select("market", "wallet", F.col("shares").cast("double").alias("shares"), "place")
 
 
+@query
+def event_anchors(w: World) -> DataFrame:
+    """An event file's rows, as text, read and refused by its rules, then anchored."""
+    k = F.col("s_suppkey")
+    pick = lambda n, *words: F.element_at(F.array(*[F.lit(x) for x in words]), (k % n + 1).cast("int"))
+    told = lambda sec, shape: F.date_format(F.timestamp_seconds(sec), shape)
+    none, late = k % 11 == 0, k % 3 == 0
+    at = F.lit(883612800) + k * 36007
+    held = w.t("supplier").select(
+        F.concat(F.lit(" M"), "s_suppkey").alias("condition_id"), F.when(~none, told(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("event_ts_utc"), pick(5, "second", "minute", "hour", "day", "").alias("event_ts_precision"),
+        pick(4, "UTC", "+03:30", "CET", "EST(UTC-5)").alias("event_ts_tz"), F.when(~none, F.when(k % 6 == 0, "true").otherwise("no")).alias("event_ts_tz_inferred"),
+        F.when(late, told(at + 1800, "yyyy-MM-dd HH:mm:ss")).alias("hedged_report_ts_utc"), F.lit("minute").alias("hedged_report_precision"), F.lit("GMT").alias("hedged_report_tz"), F.when(late, "0").alias("hedged_report_tz_inferred"),
+        F.when(k % 8 == 0, "yes").alias("tier_gap"), F.when(k % 16 == 0, "hour").otherwise("day").alias("occurrence_ts_precision"), F.lit("q").alias("question"),
+    )
+    return anchor_time.anchors(pages.event_times(held), 24)
+
+
+def bundle_rows(w: World) -> DataFrame:
+    """A saved answer for each customer, as JSON text."""
+    k = F.col("c_custkey")
+    code = lambda n: F.when(k % n == 0, 503).otherwise(200).alias("status")
+    stamp = lambda sec, tx: F.struct(sec.alias("timestamp"), F.lit(tx).alias("transaction_hash"))
+    edge = lambda who, ts, block: F.struct(F.lit(1).alias("hop"), who.alias("counterparty"), ts.alias("first_ts"), block.alias("first_block"))
+    coming = F.when(k % 7 == 0, F.array(edge(F.lit("infra"), F.lit(1), F.lit(1)))).otherwise(F.array(edge(F.concat(F.lit("p"), (k % 100).cast("string")), k + 800000000, k), edge(F.lit("infra"), F.lit(1).cast("long"), F.lit(1).cast("long"))))
+    trades = F.when(k % 5 == 0, F.array().cast("array<struct<timestamp:bigint>>")).otherwise(F.array(F.struct((k + 700000000).alias("timestamp"))))
+    after = F.struct(code(9), F.struct(F.array(F.struct((k + 50).alias("timestamp"))).alias("data")).alias("body"))
+    redeemed = F.struct(code(13), F.struct(F.array(stamp(k + 9, "b"), stamp(k, "a")).alias("data")).alias("body"), after.alias("next_trade"))
+    body = F.struct(
+        F.concat(F.lit("w"), "c_custkey").alias("wallet"), F.lit("2002-01-01T00:00:00Z").alias("t_snap"), F.struct(code(17), F.struct(trades.alias("data")).alias("body")).alias("activity_asc"),
+        F.struct(code(11), F.struct(F.struct(F.struct((k * 1.5).alias("volume_usdc")).alias("all_time_pnl")).alias("data")).alias("body")).alias("stats"), F.create_map(F.concat(F.lit("m"), (k % 10).cast("string")), redeemed).alias("redeems"),
+        F.struct(F.struct(F.lit("ok").alias("status"), coming.alias("edges")).alias("in"), F.struct(F.when(k % 23 == 0, "capped").otherwise("ok").alias("status"), F.array(edge(F.lit("z"), k, k)).alias("edges")).alias("out")).alias("transfers"),
+    )
+    return pages.bundles(w.t("customer").select(F.to_json(body).alias("body")))
+
+
+@query
+def bundle_profiles(w: World) -> DataFrame:
+    infra = w.spark.createDataFrame([("infra",)], "address string")
+    return pages.bundle_profiles(bundle_rows(w), infra, 90, 20)
+
+
+@query
+def bundle_redeems(w: World) -> DataFrame:
+    return pages.bundle_redeems(bundle_rows(w))
+
+
+@query
+def bundle_transfers(w: World) -> DataFrame:
+    return pages.bundle_transfers(bundle_rows(w)).select("wallet", "direction", "hop", "counterparty", "first_ts", "first_block")
+
+
+@query
+def topics(w: World) -> DataFrame:
+    address = F.concat(F.lit("0x"), F.lpad(F.lower(F.hex("c_custkey")), 40, "0"))
+    held = w.t("customer").select("c_custkey", F.when(F.col("c_custkey") % 7 == 0, F.upper(address)).otherwise(address).alias("address"))
+    topic = pages.topic_of_address(F.col("address"))
+    return held.select("c_custkey", topic.alias("topic"), pages.address_of_topic(topic).alias("again"), pages.is_address(F.col("address")).alias("valid"))
+
+
+@query
+def distinct_tuples(w: World) -> DataFrame:
+    return w.fills.groupBy("walk").agg(F.countDistinct(F.struct("wallet", "market", "token")).alias("n"))
+
+
+@query
+def utc_text(w: World) -> DataFrame:
+    return w.markets.select("market", F.date_format(F.timestamp_seconds("resolved"), "yyyy-MM-dd HH:mm:ss").alias("text"))
+
+
+@query
+def unresolved_markets(w: World) -> DataFrame:
+    return audit.unresolved(w.markets.withColumn("resolved", F.when(key_of("market") % 9 != 0, F.col("resolved"))))
+
+
+@query
+def pnl_crosscheck(w: World) -> DataFrame:
+    positions = w.lines.select("wallet", F.concat(F.lit("m"), "l_suppkey").alias("market"), (F.col("l_tax") * 1000).alias("total_pnl"))
+    fees = w.markets.where(key_of("market") % 4 != 0).select("market", (key_of("market") % 3 == 0).alias("fees_enabled"))
+    held = ledger.crosschecked(ledger.profit_by_market(w.fills, w.tokens, w.markets), positions, fees)
+    return held.select("wallet", "market", F.col("profit").cast("double").alias("profit"), F.col("positions_total").cast("double").alias("positions_total"), "fees_enabled")
+
+
+@query
+def block_at_or_after(w: World) -> DataFrame:
+    blocks = w.t("orders").select(num.seconds("o_orderdate").alias("sec"), F.col("o_orderkey").alias("block"))
+    return graph.block_at_or_after(blocks, w.markets.select(F.col("market").alias("id"), F.col("resolved").alias("sec")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: (lambda spark, sf_dir, make=make: make(World(spark, sf_dir))) for name, make in MADE.items()}
 

@@ -299,7 +299,8 @@ SELECT r.wallet, r.market, r.sec, CASE WHEN coalesce(c.shape2, r.shape) = 'relay
 )
 SELECT o.scope, o.wallet, round(o.total, 9) AS total, CASE WHEN u.passed THEN round(o.total, 9) END AS total_passed, o.n_na FROM o JOIN users u USING (scope, wallet)""",
     "score_recompute": SQL + SCORED + "SELECT scope, wallet, round(total + 0.001, 9) AS total FROM scored WHERE CAST(wallet[2:] AS BIGINT) % 41 = 0",
-    "contributions": SQL + SCORED + "SELECT d.scope, d.wallet, d.signal, round(coalesce(w.weight * d.component, 0), 9) AS part FROM dense d JOIN weights w USING (signal) WHERE d.scope = 'all'",
+    "contributions": SQL + SCORED + """, c AS (SELECT d.scope, d.wallet, d.signal, coalesce(w.weight * d.component, 0) AS part FROM dense d JOIN weights w USING (signal) WHERE d.scope = 'all')
+SELECT scope, wallet, signal, round(part, 9) AS part, round(part, 4) AS printed, rank() OVER (PARTITION BY scope, wallet ORDER BY round(part, 4) DESC) <= 2 AND round(part, 4) > 0 AS driver FROM c""",
     "pending_signals": SQL + DENSE + """, n AS (SELECT signal, na, count(*) AS n, row_number() OVER (PARTITION BY signal ORDER BY count(*) DESC, na) AS rn FROM dense GROUP BY 1, 2)
 SELECT signal, na, n FROM n WHERE rn = 1 AND signal NOT IN (SELECT signal FROM dense WHERE na IS NULL)""",
     "shown_signals": SQL + DENSE + """SELECT d.scope, d.wallet, d.signal, CASE WHEN NOT h THEN round(raw, 9) END AS raw, CASE WHEN NOT h THEN round(component, 9) END AS component, CASE WHEN h THEN 'below_prefilter' ELSE na END AS na
@@ -414,4 +415,41 @@ SELECT key, CAST(minutes AS INTEGER) AS minutes, CAST(epoch(date_trunc(unit, mak
     "strict_json": """SELECT c_custkey, '{"c_custkey":' || c_custkey || ',"ratio":' || CASE WHEN c_custkey % 5 = 0 THEN 'null' ELSE CAST(c_custkey / 4 AS VARCHAR) END || '}' AS json FROM customer""",
     "top_buyers": SQL + f""", b AS (SELECT f.market, f.wallet, sum(f.size) AS s FROM fills f JOIN tokens t ON t.token = f.token JOIN markets m ON m.market = f.market WHERE f.side = 'BUY' AND t.outcome = m.winner GROUP BY 1, 2)
 SELECT market, wallet, {DBL.format('s')} AS shares, place FROM (SELECT *, row_number() OVER (PARTITION BY market ORDER BY s DESC, wallet) AS place FROM b) WHERE place <= 40""",
+    "event_anchors": """WITH k AS (
+  SELECT s_suppkey AS k, 883612800 + s_suppkey * 36007 AS sec, ['second', 'minute', 'hour', 'day', 'day'][1 + s_suppkey % 5] AS unit, CASE WHEN s_suppkey % 6 = 0 THEN 840 ELSE [0, 210, 840, -300][1 + s_suppkey % 4] END AS zone FROM supplier
+), t AS (
+  SELECT k, CAST(epoch(date_trunc(unit, make_timestamp((sec + zone * 60) * 1000000))) AS BIGINT) - zone * 60 AS anchor, CASE unit WHEN 'second' THEN 1 WHEN 'minute' THEN 60 WHEN 'hour' THEN 3600 ELSE 86400 END AS prec FROM k WHERE k % 11 <> 0
+  UNION ALL SELECT k, (sec + 1800) // 60 * 60, 60 FROM k WHERE k % 3 = 0
+), f AS (
+  SELECT k, anchor, prec FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY anchor, prec) AS rn FROM t) WHERE rn = 1
+)
+SELECT 'm' || k AS market, anchor, CAST(prec AS INTEGER) AS precision, CASE WHEN anchor IS NULL THEN 'no_event_ts' WHEN prec >= 86400 OR (k % 8 = 0 AND k % 16 <> 0) THEN 'event_ts_too_coarse' END AS na FROM k LEFT JOIN f USING (k)""",
+    "bundle_profiles": """WITH c AS (
+  SELECT c_custkey AS k, CASE WHEN c_custkey % 17 = 0 THEN 'unavailable' WHEN c_custkey % 5 = 0 THEN 'empty' ELSE 'ok' END AS activity, c_custkey % 7 <> 0 AS funded FROM customer
+)
+SELECT 'w' || k AS wallet, CASE WHEN activity = 'ok' THEN k + 700000000 END AS first_trade, CASE WHEN funded THEN k + 800000000 END AS first_funding, CASE WHEN funded THEN k END AS first_funding_block,
+  CASE WHEN k % 11 <> 0 THEN k * 1.5::DOUBLE END AS lifetime_volume, activity AS activity_status, CASE WHEN k % 11 = 0 THEN 'unavailable' ELSE 'ok' END AS stats_status, CASE WHEN k % 23 = 0 THEN 'unavailable' ELSE 'ok' END AS transfers_status,
+  CASE WHEN k % 23 = 0 THEN 'capped' ELSE 'ok' END AS transfers_detail, CASE WHEN funded THEN k <= 110 ELSE activity = 'ok' END AS truncated, CAST(1009843200 AS BIGINT) AS snap FROM c""",
+    "bundle_redeems": "SELECT 'w' || c_custkey AS wallet, 'm' || c_custkey % 10 AS market, c_custkey AS sec, 'a' AS tx, CASE WHEN c_custkey % 9 <> 0 THEN c_custkey + 50 END AS next_trade FROM customer WHERE c_custkey % 13 <> 0",
+    "bundle_transfers": """SELECT 'w' || c_custkey AS wallet, 'in' AS direction, 1 AS hop, 'infra' AS counterparty, CAST(1 AS BIGINT) AS first_ts, CAST(1 AS BIGINT) AS first_block FROM customer
+UNION ALL SELECT 'w' || c_custkey, 'in', 1, 'p' || c_custkey % 100, c_custkey + 800000000, c_custkey FROM customer WHERE c_custkey % 7 <> 0 UNION ALL SELECT 'w' || c_custkey, 'out', 1, 'z', c_custkey, c_custkey FROM customer""",
+    "topics": "SELECT c_custkey, '0x' || printf('%064x', c_custkey) AS topic, '0x' || printf('%040x', c_custkey) AS again, c_custkey % 7 <> 0 AS valid FROM customer",
+    "distinct_tuples": SQL + "SELECT walk, count(DISTINCT (wallet, market, token)) AS n FROM fills GROUP BY 1",
+    "utc_text": SQL + "SELECT market, strftime(make_timestamp(resolved * 1000000), '%Y-%m-%d %H:%M:%S') AS text FROM markets",
+    "unresolved_markets": SQL + "SELECT market FROM markets WHERE k % 9 = 0",
+    "pnl_crosscheck": SQL + PNL + f""", p AS (SELECT 'w' || o_custkey AS wallet, 'm' || l_suppkey AS market, sum(CAST(l_tax * 1000 AS DECIMAL(38,6))) AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)
+SELECT wallet, market, {DBL.format('profit')} AS profit, {DBL.format('v')} AS positions_total, CASE WHEN CAST(market[2:] AS BIGINT) % 4 <> 0 THEN CAST(market[2:] AS BIGINT) % 3 = 0 ELSE false END AS fees_enabled FROM pnl LEFT JOIN p USING (wallet, market)""",
+    "block_at_or_after": SQL + "SELECT m.market AS id, min(o.o_orderkey) AS block FROM markets m LEFT JOIN (SELECT o_orderkey, CAST(epoch(o_orderdate) AS BIGINT) AS sec FROM orders) o ON o.sec >= m.resolved GROUP BY 1",
+    "traced_paths": SQL + """, e AS (
+  SELECT wallet AS address, counterparty, sum(amount) AS amount, min(first_block) AS b, min(log_index) AS i FROM transfers WHERE hop = 1 GROUP BY 1, 2
+  UNION ALL SELECT counterparty, wallet, sum(amount), min(first_block), min(log_index) FROM transfers WHERE hop = 1 GROUP BY 1, 2
+), busy AS (
+  SELECT address FROM e GROUP BY 1 HAVING count(*) > 40
+)""" + "".join(f""", f{h} AS MATERIALIZED (
+  SELECT *, able AND place <= 3 AS selected FROM (
+    SELECT *, row_number() OVER (PARTITION BY wallet, via, able ORDER BY amount DESC, b, i, counterparty) AS place FROM (
+      SELECT s.wallet, {h} AS hop, s.address AS via, e.counterparty, e.amount, e.b, e.i, e.counterparty <> s.wallet AND e.counterparty NOT IN (SELECT address FROM stops) AS able
+      FROM ({source}) s JOIN e ON e.address = s.address))
+)""" for h, source in ((1, "SELECT wallet, wallet AS address FROM bypass"), *((h, f"SELECT DISTINCT wallet, counterparty AS address FROM f{h - 1} WHERE selected AND counterparty NOT IN (SELECT address FROM busy)") for h in (2, 3)))) + """
+SELECT wallet, CAST(hop AS INTEGER) AS hop, via, counterparty, amount, selected FROM (SELECT * FROM f1 UNION ALL SELECT * FROM f2 UNION ALL SELECT * FROM f3)""",
 }
