@@ -1,11 +1,14 @@
 """Language-model scoring by deleted interpolation.
 
-A word's probability after the word before it mixes the bigram's, the word's and a uniform estimate. The mixture's weights depend on
-how often the context was seen, in powers of two, and are learned by expectation-maximisation on one fold of the training documents,
-each token's own occurrence deleted from the counts.
-
-Counts meet without a row for each token: documents are packed into chunks; every chunk sends its different n-grams, hashed to 64 bits,
-as sorted arrays to ranges of the hash space, where they are added up; back come only totals that differ from what the chunk has itself.
+A word's probability after the two words before it mixes the trigram's, the bigram's, the word's and a uniform estimate. The mixture's
+weights depend on how often the context was seen, in powers of two, and are learned by expectation-maximisation on one fold of the
+training documents, each token's own occurrence deleted from the counts: first those of bigram, word and uniform estimate by the word
+before, then that of the trigram against the mixture of these by the two words before.
+
+Counts meet without a row for each token: documents are packed into chunks; every chunk sends its different n-grams, hashed, as sorted
+arrays to ranges of the hash space, where they are added up; back come only totals that differ from what the chunk has itself. Words are
+hashed to 64 bits; pairs and triples to 16 bits more than the tokens' number has, so that one in 65,536 at most shares its hash with
+another, and a sorted hash costs some four bytes at any size.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ from marlstone.llm.common import cut, map_columns
 
 #: Text bytes of a chunk (a longer text has one for itself), and tokens whose keys one range of the hash space adds up.
 CHUNK, RANGE = 16 << 20, 4 << 20
+#: The longest n-grams, and by how many bits the hashes of pairs and triples are wider than the number of tokens.
+ORDERS, SPARE = 3, 16
 END, START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Context frequencies of 2**24 and more share a bucket; probabilities are put together in eighths of a power of two for learning.
 BUCKETS, STEPS = 26, 8
@@ -51,16 +56,17 @@ def loose(data: bytes, kind=np.uint32) -> np.ndarray:
 
 
 def tight(keys: np.ndarray) -> bytes:
-    """Sorted keys as the first one and the gaps after it, in as few bytes each as the widest needs."""
+    """Sorted keys as the first one and the gaps after it, in as few bytes each as the widest needs; all first bytes, then all second
+    ones, and so on, compressed, as the last ones are mostly small."""
     gaps = np.diff(keys)
     width = max(1, (int(gaps.max()).bit_length() + 7) // 8) if len(gaps) else 1
-    return bytes([width]) + keys[:1].tobytes() + np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+    return bytes([width]) + keys[:1].tobytes() + squeezed(np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8)[:, :width].T))
 
 
 def untight(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8, offset=9).reshape(-1, data[0])
-    gaps = np.zeros((len(raw), 8), np.uint8)
-    gaps[:, : data[0]] = raw
+    raw = loose(data[9:], np.uint8).reshape(data[0], -1)
+    gaps = np.zeros((raw.shape[1], 8), np.uint8)
+    gaps[:, : data[0]] = raw.T
     return np.concatenate([np.frombuffer(data, np.uint64, 1, 1), gaps.view(np.uint64).ravel()]).cumsum(dtype=np.uint64)
 
 
@@ -90,14 +96,15 @@ def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for id_, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             text = text or ""
-            if ids and size + len(text) > CHUNK:
+            length = len(text.encode("utf-8", "replace"))
+            if ids and size + length > CHUNK:
                 yield full()
                 ids.clear()
                 texts.clear()
                 size = 0
             ids.append(id_)
             texts.append(text)
-            size += len(text)
+            size += length
     if ids:
         yield full()
 
@@ -113,9 +120,10 @@ def tables(*blobs: bytes) -> tuple[list, list[str]]:
 
 
 class Counted:
-    """A chunk's tokens: for order 1 and 2 the different keys, sorted, and which of them each token has; training counts of the keys."""
+    """A chunk's tokens: for each order the different keys, sorted, and which of them each token has; training counts of the keys.
+    Keys of pairs and triples have ``bits`` bits."""
 
-    def __init__(self, ids: list, texts: list[str]):
+    def __init__(self, ids: list, texts: list[str], bits: int):
         known: dict[bytes, int] = {}
         hashes, parts, lengths = [int(END)], [], []
         digest, end = xxhash.xxh64_intdigest, np.zeros(1, np.int32)
@@ -151,24 +159,37 @@ class Counted:
         add(keys, place.astype(np.int32)[numbers])
         words = hashes[numbers]
         del numbers
-        pairs = np.empty_like(words)
-        pairs[1:] = words[:-1]
-        pairs[self.starts] = START
-        with np.errstate(over="ignore"):  # the hash of a pair; in place, since these are the largest arrays here
-            pairs ^= pairs >> np.uint64(29)
-            pairs *= np.uint64(0xBF58476D1CE4E5B9)
-            pairs += words
-            del words
-            pairs ^= pairs >> np.uint64(32)
-            pairs *= np.uint64(0x94D049BB133111EB)
+        pairs = self.after(words, words)
+        triples = self.after(pairs, words)
+        del words
+        drop = np.uint64(64 - bits)
+        for held in (pairs, triples):
+            held >>= drop
         keys, of = np.unique(pairs, return_inverse=True)
+        del pairs, held
+        add(keys, of.astype(np.int32))
+        keys, of = np.unique(triples, return_inverse=True)
+        del triples
         add(keys, of.astype(np.int32))
 
-    def totals(self, answers, ranges: int | None) -> list[np.ndarray]:
+    def after(self, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """For each token the hash of the context that ends with the token before it, and of its own word."""
+        made = np.empty_like(words)
+        made[1:] = contexts[:-1]
+        made[self.starts] = START
+        with np.errstate(over="ignore"):  # in place, since these are the largest arrays here
+            made ^= made >> np.uint64(29)
+            made *= np.uint64(0xBF58476D1CE4E5B9)
+            made += words
+            made ^= made >> np.uint64(32)
+            made *= np.uint64(0x94D049BB133111EB)
+        return made
+
+    def totals(self, answers, ranges: int | None, bits: int) -> list[np.ndarray]:
         """Counts over all chunks: the chunk's own, but for those in ``answers``. With ``ranges`` an answer marks by bits which of the
         chunk's keys in its range it is about; without, it names them."""
         out = [c.astype(np.int64) for c in self.counts]
-        edges = [np.searchsorted(in_range(k, ranges), np.arange(ranges + 1)) for k in self.keys] if ranges else None
+        edges = [np.searchsorted(in_range(k, ranges, b), np.arange(ranges + 1)) for k, b in zip(self.keys, widths(bits), strict=True)] if ranges else None
         for a in answers or []:
             k, totals = a["order"] - 1, loose(a["totals"], np.int64)
             if edges is None:
@@ -178,21 +199,30 @@ class Counted:
                 out[k][first + np.flatnonzero(np.unpackbits(np.frombuffer(a["keys"], np.uint8), count=last - first))] = totals
         return out
 
-    def parts(self, totals: list[np.ndarray], n_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each token the counts of its bigram, of the context and of the word."""
-        word = totals[0][self.of[0]]
-        context = np.empty_like(word)
-        context[1:] = word[:-1]
-        context[self.starts] = n_docs
-        return totals[1][self.of[1]], context, word
+    def parts(self, totals: list[np.ndarray], n_docs: int) -> tuple[np.ndarray, ...]:
+        """For each token the counts of its trigram, of the two words before, of its bigram, of the word before and of the word."""
+        word, two = totals[0][self.of[0]], totals[1][self.of[1]]
+        return totals[2][self.of[2]], self.before(two, n_docs), two, self.before(word, n_docs), word
+
+    def before(self, counts: np.ndarray, n_docs: int) -> np.ndarray:
+        """The count of the token before; at a text's start that of the texts."""
+        out = np.empty_like(counts)
+        out[1:] = counts[:-1]
+        out[self.starts] = n_docs
+        return out
+
 
+def widths(bits: int) -> list[int]:
+    """The bits of the keys of each order."""
+    return [64] + [bits] * (ORDERS - 1)
 
-def in_range(keys: np.ndarray, ranges: int) -> np.ndarray:
+
+def in_range(keys: np.ndarray, ranges: int, bits: int) -> np.ndarray:
     """Which of ``ranges`` equal ranges of the hash space each key is in; rises with the keys."""
-    return (keys >> np.uint64(32)).astype(np.int64) * ranges >> 32
+    return (keys >> np.uint64(bits - 32)).astype(np.int64) * ranges >> 32
 
 
-def send(ranges: int):
+def send(ranges: int, bits: int):
     """Chunks to rows of SENT: for each order and range of the hash space the chunk's keys there, training counts and fold marks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,9 +232,9 @@ def send(ranges: int):
         for batch in batches:
             for i in range(batch.num_rows):
                 chunk, fold, rest = (batch.column(k)[i].as_py() for k in range(3))
-                own = Counted(*tables(fold, rest))
-                for order, (keys, counts, in_fold) in enumerate(zip(own.keys, own.counts, own.in_fold, strict=True), 1):
-                    at, first = np.unique(in_range(keys, ranges), return_index=True)
+                own = Counted(*tables(fold, rest), bits)
+                for order, (keys, counts, in_fold, width) in enumerate(zip(own.keys, own.counts, own.in_fold, widths(bits), strict=True), 1):
+                    at, first = np.unique(in_range(keys, ranges, width), return_index=True)
                     last = [*first[1:], len(keys)]
                     rows = [(order, r, chunk, tight(keys[a:b]), squeezed(counts[a:b] * 2 + in_fold[a:b])) for r, a, b in zip(at.tolist(), first, last, strict=True)]
                     for k in range(0, len(rows), 256):
@@ -269,19 +299,42 @@ def weights(codes: np.ndarray, n: np.ndarray, uniform: float, rounds: int = 60)
     return lam
 
 
+def weight(codes: np.ndarray, n: np.ndarray, rounds: int = 60) -> np.ndarray:
+    """Expectation-maximisation: for each bucket the trigram's weight against the shorter n-grams' mixture; an empty bucket takes its
+    lower neighbour's, an unseen context has none."""
+    b, q3, q2 = codes >> 16, codes >> 8 & 255, codes & 255
+    p3, p2 = (np.where(q > 0, 2.0 ** (-(q - 1) / STEPS), 0) for q in (q3, q2))
+    lam = np.full(BUCKETS, 0.5)
+    lam[0] = 0
+    total = np.bincount(b, weights=n, minlength=BUCKETS)
+    for _ in range(rounds):
+        share = lam[b] * p3 / np.maximum(lam[b] * p3 + (1 - lam[b]) * p2, 1e-300)
+        lam = np.where(total > 0, np.bincount(b, weights=share * n, minlength=BUCKETS) / (total + 0.02), lam)
+    for k in range(2, BUCKETS):
+        if not total[k]:
+            lam[k] = lam[k - 1]
+    return lam
+
+
+def mixture(lam: np.ndarray, two: np.ndarray, context: np.ndarray, word: np.ndarray, n: int, v: int) -> np.ndarray:
+    """The probability of each token from its bigram, its word and the uniform estimate."""
+    mix = lam[bucket(context)]
+    return mix[:, 0] * two / np.maximum(context, 1) + mix[:, 1] * word / max(n, 1) + mix[:, 2] / (v + 1)
+
+
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: ``id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``.
 
     Tokens are the text's words, A-Z lower-cased, and one end. Rows whose crc32(id as text) mod 7 is 2 are held out: nothing is counted
     from them. ``base_score`` is the add-one unigram score; ``score`` the interpolated model's, both log10. A null text counts as
     empty (one token, the end), a null id as the empty string; repeated rows count as often as they occur; an empty table returns no
-    rows. Bigrams are the longest n-grams: trigrams of such texts are nearly all different, and their tables outgrow the texts.
+    rows. Before a text's first token stands its start, whose count is that of the training rows.
     """
     session = docs.sparkSession
     chunks = cut(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(pack, CHUNKS))
     tokens = chunks.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("t")).first()["t"]
-    ranges = max(1, -(-tokens // RANGE))
-    sent = chunks.select("chunk", "fold", "rest").mapInArrow(send(ranges), SENT)
+    ranges, bits = max(1, -(-tokens // RANGE)), min(64, max(40, int(tokens).bit_length() + SPARE))
+    sent = chunks.select("chunk", "fold", "rest").mapInArrow(send(ranges, bits), SENT)
     merged = sent.groupBy("order", "range").applyInPandas(add_up, BACK)
     # Taken up as it runs: later plans share its shuffle files; a lost one is made anew.
     back = DataFrame(session._jsparkSession.internalCreateDataFrame(merged._jdf.queryExecution().toRdd(), merged._jdf.schema(), False), session)
@@ -294,29 +347,43 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         own = back.where(F.col("fold") == fold).where("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("order", "range", "keys", "totals")).alias("answers"))
         return chunks.join(own, "chunk", "left")
 
-    def fitted(columns: list[pa.Array]) -> list:
-        codes: list[np.ndarray] = [np.zeros(0, np.int64)]
+    def fold_counts(columns: list[pa.Array]) -> Iterator[tuple[np.ndarray, ...]]:
+        """``parts`` of each chunk's learning fold, each token's own occurrence deleted."""
         for blob, answers in zip(*(c.to_pylist() for c in columns), strict=True):
-            own = Counted(*tables(blob))
-            if not len(own.fold):
-                continue
-            two, context, word = own.parts(own.totals(answers, None), n_docs)
-            two, context, word = two - 1, context - 1, word - 1
-            p2 = np.where(context > 0, two / np.maximum(context, 1), 0)
-            codes.append(bucket(context) << 16 | step(p2) << 8 | step(word / max(n - 1, 1)))
-        values, counts = np.unique(np.concatenate(codes), return_counts=True)
-        return [values, counts]
-
-    seen = map_columns(answered(True), FITTING, fitted, "fold", "answers").groupBy("code").agg(F.sum("n").alias("n")).collect()
-    lam = weights(np.array([r["code"] for r in seen], np.int64), np.array([r["n"] for r in seen], np.float64), 1 / (v + 1))
+            own = Counted(*tables(blob), bits)
+            if len(own.fold):
+                yield tuple(c - 1 for c in own.parts(own.totals(answers, None, bits), n_docs))
+
+    def counted(codes: list[np.ndarray]) -> list:
+        return list(np.unique(np.concatenate([np.zeros(0, np.int64), *codes]), return_counts=True))
+
+    def shorter(columns: list[pa.Array]) -> list:
+        codes = []
+        for _, _, two, context, word in fold_counts(columns):
+            codes.append(bucket(context) << 16 | step(np.where(context > 0, two / np.maximum(context, 1), 0)) << 8 | step(word / max(n - 1, 1)))
+        return counted(codes)
+
+    def longest(columns: list[pa.Array]) -> list:
+        codes = []
+        for three, pair, two, context, word in fold_counts(columns):
+            codes.append(bucket(pair) << 16 | step(np.where(pair > 0, three / np.maximum(pair, 1), 0)) << 8 | step(mixture(lam, two, context, word, n - 1, v)))
+        return counted(codes)
+
+    def seen(run) -> tuple[np.ndarray, np.ndarray]:
+        rows = map_columns(learning, FITTING, run, "fold", "answers").groupBy("code").agg(F.sum("n").alias("n")).collect()
+        return np.array([r["code"] for r in rows], np.int64), np.array([r["n"] for r in rows], np.float64)
+
+    learning = cut(answered(True).select("fold", "answers"))
+    lam = weights(*seen(shorter), 1 / (v + 1))
+    of_three = weight(*seen(longest))
 
     def scored(columns: list[pa.Array]) -> list:
         out: list[list] = [[] for _ in SCORED]
         for fold, rest, answers in zip(*(c.to_pylist() for c in columns), strict=True):
-            own = Counted(*tables(fold, rest))
-            two, context, word = own.parts(own.totals(answers, ranges), n_docs)
-            mix = lam[bucket(context)]
-            p = mix[:, 0] * two / np.maximum(context, 1) + mix[:, 1] * word / max(n, 1) + mix[:, 2] / (v + 1)
+            own = Counted(*tables(fold, rest), bits)
+            three, pair, two, context, word = own.parts(own.totals(answers, ranges, bits), n_docs)
+            mix = of_three[bucket(pair)]
+            p = mix * three / np.maximum(pair, 1) + (1 - mix) * mixture(lam, two, context, word, n, v)
             made = (own.ids, own.sides == 2, own.lengths, np.add.reduceat(word > 0, own.starts, dtype=np.int64), np.add.reduceat(np.log10((word + 1) / (n + v + 1)), own.starts), np.add.reduceat(np.log10(p), own.starts))
             for held, x in zip(out, made, strict=True):
                 held += list(x)
