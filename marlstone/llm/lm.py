@@ -200,9 +200,14 @@ class Counted:
         return out
 
     def parts(self, totals: list[np.ndarray], n_docs: int) -> tuple[np.ndarray, ...]:
-        """For each token the counts of its trigram, of the two words before, of its bigram, of the word before and of the word."""
-        word, two = totals[0][self.of[0]], totals[1][self.of[1]]
-        return totals[2][self.of[2]], self.before(two, n_docs), two, self.before(word, n_docs), word
+        """For each token the counts of its trigram, of the two words before, of its bigram, of the word before and of the word.
+
+        An n-gram is counted no more often than the shorter ones in it, which takes back most of what a shared hash adds."""
+        word = totals[0][self.of[0]]
+        context = self.before(word, n_docs)
+        two = np.minimum(totals[1][self.of[1]], np.minimum(context, word))
+        pair = self.before(two, n_docs)
+        return np.minimum(totals[2][self.of[2]], np.minimum(pair, two)), pair, two, context, word
 
     def before(self, counts: np.ndarray, n_docs: int) -> np.ndarray:
         """The count of the token before; at a text's start that of the texts."""

@@ -115,3 +115,14 @@ def test_sorted_hashes_come_back_whole():
     for keys in (rnd.integers(0, 1 << 63, 5000, np.uint64), rnd.integers(0, 1 << 43, 5000, np.uint64), np.array([7], np.uint64), np.array([0, 2**64 - 1], np.uint64)):
         keys = np.unique(keys)
         assert (lm.untight(lm.tight(keys)) == keys).all()
+
+
+def test_shared_hashes_count_no_more_than_shorter_ngrams():
+    own = lm.Counted([1, 3], ["a b c a b", "b c d"], 64)
+    exact = [c.astype(np.int64) for c in own.counts]
+    n_docs = int(sum(side(i) != 2 for i in (1, 3)))
+    want = own.parts(exact, n_docs)
+    three, pair, two, context, word = own.parts([exact[0], exact[1] + 50, exact[2] + 50], n_docs)
+    assert (three <= np.minimum(pair, two)).all() and (two <= np.minimum(context, word)).all()
+    assert all((a == b).all() for a, b in zip(own.parts([exact[0], exact[1], exact[2] + 50], n_docs)[1:], want[1:], strict=True))
+    assert (want[0] == exact[2][own.of[2]]).all() and (want[2] == exact[1][own.of[1]]).all()
