@@ -48,19 +48,20 @@ def side(id_: int | None) -> int:
 
 
 def squeezed(values: np.ndarray) -> bytes:
-    return zstandard.compress(values.tobytes(), 1)
+    """All first bytes, then all second ones, and so on, compressed, as the later ones of counts are mostly zero."""
+    return zstandard.compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes(), 1)
 
 
 def loose(data: bytes, kind=np.uint32) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(data), kind)
+    raw = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(raw.T).view(kind).ravel()
 
 
 def tight(keys: np.ndarray) -> bytes:
-    """Sorted keys as the first one and the gaps after it, in as few bytes each as the widest needs; all first bytes, then all second
-    ones, and so on, compressed, as the last ones are mostly small."""
+    """Sorted keys as the first one and the gaps after it, in as few bytes each as the widest needs, squeezed."""
     gaps = np.diff(keys)
     width = max(1, (int(gaps.max()).bit_length() + 7) // 8) if len(gaps) else 1
-    return bytes([width]) + keys[:1].tobytes() + squeezed(np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8)[:, :width].T))
+    return bytes([width]) + keys[:1].tobytes() + squeezed(np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8)[:, :width].T).ravel())
 
 
 def untight(data: bytes) -> np.ndarray:
@@ -119,24 +120,32 @@ def tables(*blobs: bytes) -> tuple[list, list[str]]:
     return ids, texts
 
 
+class Known(dict):
+    """Numbers of words, given as they are first met; 0 is the end's."""
+
+    def __init__(self):
+        super().__init__()
+        self.hashes = [int(END)]
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self.hashes)
+        self.hashes.append(xxhash.xxh64_intdigest(word))
+        return number
+
+
 class Counted:
     """A chunk's tokens: for each order the different keys, sorted, and which of them each token has; training counts of the keys.
     Keys of pairs and triples have ``bits`` bits."""
 
     def __init__(self, ids: list, texts: list[str], bits: int):
-        known: dict[bytes, int] = {}
-        hashes, parts, lengths = [int(END)], [], []
-        digest, end = xxhash.xxh64_intdigest, np.zeros(1, np.int32)
+        known, parts, lengths = Known(), [], []
+        number, end = known.__getitem__, np.zeros(1, np.int32)
         for text in texts:
-            out = []
-            for w in text.encode("utf-8", "replace").lower().split():
-                if (k := known.get(w)) is None:
-                    k = known[w] = len(hashes)
-                    hashes.append(digest(w))
-                out.append(k)
-            parts += [np.array(out, np.int32), end]
+            out = np.array(list(map(number, text.encode("utf-8", "replace").lower().split())), np.int32)
+            parts += [out, end]
             lengths.append(len(out) + 1)
-        del known
+        hashes = known.hashes
+        del known, number
         self.ids, self.sides = ids, np.array([side(i) for i in ids], np.int64)
         self.lengths = np.array(lengths, np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
@@ -250,7 +259,7 @@ def send(ranges: int, bits: int):
 
 def add_up(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
     """One range: totals of all keys, and for each chunk those that differ from its own; besides, those of its learning fold that are
-    more than 1 (a key of the fold that occurs once occurs there)."""
+    more than 1 (a key of the fold that occurs once occurs there). Sums over the words stand in a row of a chunk below zero."""
     order, which = int(key[0]), int(key[1])
     arrays = [untight(k) for k in frame["keys"]]
     marks = [loose(c).astype(np.int64) for c in frame["counts"]]
@@ -268,7 +277,7 @@ def add_up(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         if learns.any():
             out.append((chunk, True, order, which, tight(held[learns]), squeezed(every[learns]), 0, 0))
     if order == 1:
-        out.append((-1, False, 1, which, b"", b"", int(totals.sum()), int((totals > 0).sum())))
+        out.append((-1 - which, False, 1, which, b"", b"", int(totals.sum()), int((totals > 0).sum())))
     return pd.DataFrame(out, columns=[f.name for f in BACK])
 
 
@@ -345,13 +354,12 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     back = DataFrame(session._jsparkSession.internalCreateDataFrame(merged._jdf.queryExecution().toRdd(), merged._jdf.schema(), False), session)
     train = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 7 != 2
     n_docs = docs.where(train).count()
-    sums = back.where("chunk = -1").agg(F.coalesce(F.sum("all"), F.lit(0)).alias("n"), F.coalesce(F.sum("distinct"), F.lit(0)).alias("v")).first()
+    answers = F.collect_list(F.struct("order", "range", "keys", "totals")).alias("answers")
+    to_fold = back.where("fold or chunk < 0").groupBy("chunk").agg(answers, F.sum("all").alias("all"), F.sum("distinct").alias("distinct"))
+    learning = cut(chunks.select("chunk", "fold").join(to_fold, "chunk", "full").select("fold", "answers", "all", "distinct"))
+    sums = learning.agg(F.coalesce(F.sum("all"), F.lit(0)).alias("n"), F.coalesce(F.sum("distinct"), F.lit(0)).alias("v")).first()
     n, v = sums["n"], sums["v"]
 
-    def answered(fold: bool) -> DataFrame:
-        own = back.where(F.col("fold") == fold).where("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("order", "range", "keys", "totals")).alias("answers"))
-        return chunks.join(own, "chunk", "left")
-
     def fold_counts(columns: list[pa.Array]) -> Iterator[tuple[np.ndarray, ...]]:
         """``parts`` of each chunk's learning fold, each token's own occurrence deleted."""
         for blob, answers in zip(*(c.to_pylist() for c in columns), strict=True):
@@ -375,10 +383,9 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         return counted(codes)
 
     def seen(run) -> tuple[np.ndarray, np.ndarray]:
-        rows = map_columns(learning, FITTING, run, "fold", "answers").groupBy("code").agg(F.sum("n").alias("n")).collect()
+        rows = map_columns(learning.where("fold is not null"), FITTING, run, "fold", "answers").groupBy("code").agg(F.sum("n").alias("n")).collect()
         return np.array([r["code"] for r in rows], np.int64), np.array([r["n"] for r in rows], np.float64)
 
-    learning = cut(answered(True).select("fold", "answers"))
     lam = weights(*seen(shorter), 1 / (v + 1))
     of_three = weight(*seen(longest))
 
@@ -394,5 +401,6 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 held += list(x)
         return out
 
-    found = map_columns(answered(False), SCORED, scored, "fold", "rest", "answers")
+    whole = chunks.join(back.where("not fold and chunk >= 0").groupBy("chunk").agg(answers), "chunk", "left")
+    found = map_columns(whole, SCORED, scored, "fold", "rest", "answers")
     return found.select("id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
