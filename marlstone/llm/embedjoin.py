@@ -2,8 +2,9 @@
 
 Vectors of length one are at most ``eps`` apart if and only if their cosine reaches the bound. They are sorted by the grid cells (of side
 ``eps``) of their leading principal dimensions; the sorted sequence is cut into blocks, and pairs of blocks whose boxes are further
-apart than ``eps`` are skipped. Inside a pair the two sequence intervals are halved again and again and joined recursively, skipping
-distant halves, down to small tiles that are compared exactly.
+apart than ``eps`` are skipped before any vector moves. Neighbouring blocks form a stretch; a block moves once for each pair of
+stretches in which it has a partner. Inside a pair of blocks the two sequence intervals are halved again and again and joined
+recursively, skipping distant halves, down to small tiles that are compared exactly.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from marlstone.llm.common import components, cut, map_columns
 BLOCK, TILE = 4096, 512
 #: Leading principal dimensions that order the vectors and bound their distance.
 LEADING = 8
+#: Dimensions whose grid cells bring near boxes together, and the least side of these cells (coordinates are within 1).
+MEETING, SIDE = 2, 1 / 16
 
 
 def usable(vector: Column) -> Column:
@@ -69,19 +72,35 @@ BLOCKS = T.StructType(
 )
 
 
-def packed(nodes: np.ndarray, counts: np.ndarray, lengths: np.ndarray, rows: np.ndarray) -> bytes:
-    return np.concatenate([np.array([len(nodes), rows.shape[1]]), nodes, counts, lengths]).astype(np.int64).tobytes() + rows.astype(np.float64).tobytes()
+def packed(nodes: np.ndarray, counts: np.ndarray, lengths: np.ndarray, rows: np.ndarray, single: bool = False) -> bytes:
+    """A block in bytes, its components as floats if they came as such."""
+    return np.concatenate([np.array([len(nodes), rows.shape[1], single]), nodes, counts, lengths]).astype(np.int64).tobytes() + rows.astype(np.float32 if single else np.float64).tobytes()
 
 
-def unpacked(data: bytes) -> tuple[np.ndarray, ...]:
-    n, width = np.frombuffer(data, np.int64, 2)
-    ints = np.frombuffer(data, np.int64, 3 * n, 16).reshape(3, n)
-    return ints[0], ints[1], ints[2], np.frombuffer(data, np.float64, n * width, 16 + 24 * n).reshape(n, width)
+class Block:
+    """A block's nodes, how many rows each has, lengths, unit vectors and principal coordinates."""
+
+    def __init__(self, data: bytes, axes: np.ndarray):
+        n, width, single = np.frombuffer(data, np.int64, 3).tolist()
+        self.nodes, self.counts, self.lengths = np.frombuffer(data, np.int64, 3 * n, 24).reshape(3, n)
+        self.units = unit(np.frombuffer(data, np.float32 if single else np.float64, n * width, 24 + 24 * n).reshape(n, width).astype(np.float64))
+        self.places = self.units @ axes
+
+
+def block_size(width: int) -> int:
+    return min(BLOCK, max(TILE, (2 << 20) // (8 * width)))
+
+
+def ranges(n: int, width: int) -> int:
+    """Sorted ranges of about two blocks each."""
+    return max(1, -(-n // (2 * block_size(width))))
 
 
 def blocks(vectors: DataFrame, n: int, width: int, axes: np.ndarray, eps: float) -> DataFrame:
-    """The vectors in epsilon grid order, at most ``BLOCK`` to a row, with the box of each block's principal coordinates."""
-    leading, most = axes.shape[1], min(BLOCK, max(TILE, (2 << 20) // (8 * width)))
+    """The vectors in epsilon grid order, at most ``BLOCK`` to a row, with the box of each block's principal coordinates. The upper half
+    of ``block`` is the place of its range in that order."""
+    leading, most = axes.shape[1], block_size(width)
+    single = vectors.schema["embedding"].dataType.elementType == T.FloatType()
     schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("embedding", vectors.schema["embedding"].dataType), T.StructField("cells", T.ArrayType(T.LongType()))])
 
     def cells(columns: list[pa.Array]) -> list:
@@ -102,7 +121,7 @@ def blocks(vectors: DataFrame, n: int, width: int, axes: np.ndarray, eps: float)
                 held = [rest] if rest.num_rows else []
                 rows, lengths = matrix(own.column(2), width)
                 place = unit(rows) @ axes
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(([(part << 32) + k], [place.min(axis=0)], [place.max(axis=0)], [packed(own.column(0).to_numpy(), own.column(1).to_numpy(), lengths, rows)]), wanted, strict=True)], schema=wanted)
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(([(part << 32) + k], [place.min(axis=0)], [place.max(axis=0)], [packed(own.column(0).to_numpy(), own.column(1).to_numpy(), lengths, rows, single)]), wanted, strict=True)], schema=wanted)
                 k += 1
 
         for batch in batches:
@@ -113,7 +132,7 @@ def blocks(vectors: DataFrame, n: int, width: int, axes: np.ndarray, eps: float)
 
     ordered = map_columns(vectors, schema, cells, "node", "n", "embedding")
     keys = [F.col("cells")[i] for i in range(leading)] + [F.xxhash64("node"), F.col("node")]
-    ordered = ordered.repartitionByRange(max(1, -(-n // (2 * most))), *keys).sortWithinPartitions(*keys)
+    ordered = ordered.repartitionByRange(ranges(n, width), *keys).sortWithinPartitions(*keys)
     return ordered.select("node", "n", "embedding").mapInArrow(pack, BLOCKS)
 
 
@@ -124,12 +143,17 @@ def apart(low_a, high_a, low_b, high_b) -> float:
 
 
 def joined(a: bytes, b: bytes, same: bool, axes: np.ndarray, eps: float, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For the vectors of two blocks (of one, if ``same``): ``nodes``, how many rows each links to in the other block, and the smallest
+    """``met`` for two packed blocks, or for one and itself if ``same``."""
+    one = Block(a, axes)
+    return met(one, one if same else Block(b, axes), eps, least)
+
+
+def met(a: Block, b: Block, eps: float, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the vectors of two blocks (which may be the same): ``nodes``, how many rows each links to in the other block, and the smallest
     node that it reaches over links between the two; only those with links."""
-    nodes_a, counts_a, lengths_a, rows_a = unpacked(a)
-    nodes_b, counts_b, lengths_b, rows_b = unpacked(b)
-    units_a, units_b = unit(rows_a), unit(rows_b)
-    places = [units_a @ axes, units_b @ axes]
+    same, places = a is b, (a.places, b.places)
+    nodes_a, counts_a, lengths_a, units_a = a.nodes, a.counts, a.lengths, a.units
+    nodes_b, counts_b, lengths_b, units_b = b.nodes, b.counts, b.lengths, b.units
     base = 0 if same else len(nodes_a)
     links = np.zeros(len(nodes_a) + (0 if same else len(nodes_b)), np.int64)
     label = np.arange(len(links))
@@ -186,6 +210,29 @@ def half(n: int) -> int:
     return min(size, n)
 
 
+def near_boxes(box: DataFrame, dimensions: int, eps: float) -> DataFrame:
+    """Pairs ``a`` <= ``b`` of blocks whose boxes (``block``, ``low``, ``high``) are at most ``eps`` apart, each pair once.
+
+    Boxes meet in cells of their first dimensions, one of them in its own cells and the cells beside them; a pair counts in the first
+    cell that both have. Cells are as wide as ``eps`` at least, so near boxes always meet, and few for each box.
+    """
+    side, meeting = max(eps * (1 + 1e-6), SIDE), min(MEETING, dimensions)
+    edge = lambda c, d: F.floor(F.col(c)[d] / side)
+
+    def cells(name: str, beside: int) -> DataFrame:
+        out = box.select(F.col("block").alias(name), F.col("low").alias(f"low_{name}"), F.col("high").alias(f"high_{name}"), *[x.alias(f"{c}_{name}{d}") for d in range(meeting) for c, x in (("from", edge("low", d) - beside), ("to", edge("high", d) + beside))])
+        for d in range(meeting):
+            out = out.withColumn(f"cell{d}", F.explode(F.sequence(f"from_{name}{d}", f"to_{name}{d}")))
+        return out
+
+    gap = F.zip_with(F.zip_with("low_a", "high_b", lambda x, y: x - y), F.zip_with("low_b", "high_a", lambda x, y: x - y), lambda x, y: F.greatest(F.lit(0.0), x, y))
+    distance = F.sqrt(F.aggregate(gap, F.lit(0.0), lambda s, x: s + x * x))
+    found = cells("a", 0).join(cells("b", 1), [f"cell{d}" for d in range(meeting)]).where("a <= b")
+    for d in range(meeting):
+        found = found.where(F.col(f"cell{d}") == F.greatest(f"from_a{d}", f"from_b{d}"))
+    return found.where(distance <= eps * (1 + 1e-9)).select("a", "b")
+
+
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.95) -> DataFrame:
     """One row for each row of ``vectors``: ``id``, ``n_links``, ``component_id``, ``kept``.
 
@@ -194,7 +241,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     are null, empty, zero or hold nulls, NaN or infinities link with nothing, nor do vectors of different lengths. Equal vectors are
     compared once. Null ids are passed over for the smallest; rows may repeat; an empty table returns no rows.
     """
-    eps = float(np.sqrt(max(0.0, 2 - 2 * least)))
+    eps = float(np.sqrt(max(1e-12, 2 - 2 * least)))
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("embedding"))
     unique = cut(rows.where(usable(F.col("embedding"))).groupBy("embedding").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).withColumn("node", F.monotonically_increasing_id()))
     size = unique.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("w")).first()
@@ -204,21 +251,20 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     width = size["w"]
     axes = principal(unique, width)
     packs = cut(blocks(unique, size["n"], width, axes, eps))
-    box = packs.select("block", "low", "high", F.floor(F.col("low")[0] / eps).alias("from"), F.floor(F.col("high")[0] / eps).alias("to"))
-    left = box.select(F.col("block").alias("a"), F.col("low").alias("low_a"), F.col("high").alias("high_a"), F.explode(F.sequence("from", "to")).alias("cell"))
-    right = box.select(F.col("block").alias("b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"), F.explode(F.sequence(F.col("from") - 1, F.col("to") + 1)).alias("cell"))
-    gap = F.zip_with(F.zip_with("low_a", "high_b", lambda x, y: x - y), F.zip_with("low_b", "high_a", lambda x, y: x - y), lambda x, y: F.greatest(F.lit(0.0), x, y))
-    distance = F.sqrt(F.aggregate(gap, F.lit(0.0), lambda s, x: s + x * x))
-    pairs = left.join(right, "cell").where((F.col("a") <= F.col("b")) & (distance <= eps * (1 + 1e-9))).select("a", "b").distinct()
-    data = packs.select("block", "data")
-    both = pairs.join(data.select(F.col("block").alias("a"), F.col("data").alias("data_a")), "a").join(data.select(F.col("block").alias("b"), F.col("data").alias("data_b")), "b")
+    stretch = min(8, max(1, ranges(size["n"], width) // 32))  # ranges: many tasks first, then fewer moves
+    of = lambda c: F.floor(F.shiftright(c, 32) / stretch)
+    pairs = near_boxes(packs.select("block", "low", "high"), axes.shape[1], eps)
+    moves = pairs.select(of("a").alias("s"), of("b").alias("t"), F.explode(F.array("a", "b")).alias("block")).distinct()
     schema = T.StructType([T.StructField(n, T.LongType()) for n in ("node", "links", "root")])
 
-    def run(columns: list[pa.Array]) -> list:
-        made = [joined(x.as_py(), y.as_py(), a.as_py() == b.as_py(), axes, eps, least) for a, b, x, y in zip(*columns, strict=True)]
-        return [np.concatenate([m[i] for m in made]) for i in range(3)]
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        first, second = (k.as_py() for k in key)
+        held = {k: Block(data, axes) for k, data in sorted(zip(table["block"].to_pylist(), table["data"].to_pylist(), strict=True))}
+        place = lambda k: (k >> 32) // stretch
+        made = [met(held[x], held[y], eps, least) for x in held if place(x) == first for y in held if x <= y and place(y) == second]
+        return pa.table({f.name: np.concatenate([m[i] for m in made]) for i, f in enumerate(schema)})
 
-    found = cut(map_columns(both, schema, run, "a", "b", "data_a", "data_b"))
+    found = cut(moves.join(packs.select("block", "data"), "block").groupBy("s", "t").applyInArrow(run, schema))
     groups = components(found.select("node", "root"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     each = unique.join(links, "node", "left").join(groups, "node", "left").select("embedding", "n", "least", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "node").alias("root"))
