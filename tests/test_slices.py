@@ -2,7 +2,7 @@ import re
 
 from pyspark.sql import Row
 
-from marlstone.operators import scoring, whole
+from marlstone.operators import audit, scoring, whole
 from marlstone.operators.signals import SIGNALS
 from marlstone.plans import registry, world
 from marlstone.plans.world import World
@@ -53,3 +53,16 @@ def test_pending_counts_before_signals_become_rows(spark):
     below = plan[plan.index("Generate explode") :]
     assert re.search(r"HashAggregate\(keys=\[(\w+)", below).group(1) == "S1"  # counted below, then made rows
     spark.catalog.clearCache()
+
+
+def test_broken_reasons_are_those_of_long_rows(spark):
+    held = signals_of(spark, ("a", {"S2": (1.0, 1.0, "x"), "S8": (None, None, None)}), ("b", {}), ("c", {"S2": (None, None, "x"), "S1": (None, 1.0, None)}))
+    got = sorted(map(tuple, whole.broken_na(held).collect()))
+    assert got == sorted(map(tuple, audit.broken_na(whole.long(held)).select("scope", "wallet", "signal").collect())) == [("all", "a", "S2"), ("all", "a", "S8"), ("all", "c", "S1")]
+
+
+def test_sound_rows_become_no_rows_of_signals(spark):
+    plan = registry.MADE["na_invariant"](World(spark, SF))._jdf.queryExecution().sparkPlan().toString().split("InMemoryRelation")[0]
+    below = plan[plan.index("Generate explode") :].splitlines()
+    assert any("Filter" in line and "_test" in line for line in below[1:4])
+    spark.catalog.clearCache()
