@@ -1,6 +1,7 @@
 import re
 
 from pyspark.sql import Row
+from pyspark.sql.classic.dataframe import DataFrame
 
 from marlstone.operators import audit, scoring, whole
 from marlstone.operators.signals import SIGNALS
@@ -66,3 +67,16 @@ def test_sound_rows_become_no_rows_of_signals(spark):
     below = plan[plan.index("Generate explode") :].splitlines()
     assert any("Filter" in line and "_test" in line for line in below[1:4])
     spark.catalog.clearCache()
+
+
+def test_only_missing_signals_are_looked_for_again(spark, monkeypatch):
+    asked, agg = [], DataFrame.agg
+    held = signals_of(spark, *[(str(i), {"S5": (None, None, "x")}) for i in range(9)], ("z", {})).coalesce(1)
+    monkeypatch.setattr(type(held), "agg", lambda self, *columns: (asked.append(len(columns)), agg(self, *columns))[1])
+    assert whole.components_found(held, 3) == dict.fromkeys(SIGNALS, 1) and asked == [1]
+
+
+def test_totals_are_recomputed_in_a_projection(spark):
+    plan = registry.MADE["score_recompute"](World(spark, SF))._jdf.queryExecution().sparkPlan().toString().split("InMemoryRelation")[0]
+    assert next("_test" in line for line in plan.splitlines() if "Filter" in line)
+    spark.catalog.clearCache()
