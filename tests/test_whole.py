@@ -10,6 +10,7 @@ from marlstone.operators.signals import SIGNALS
 from marlstone.operators.whole import components_found
 from marlstone.plans import registry
 from marlstone.plans.world import World
+from marlstone.session import free_shuffles
 
 SF = "/root/testdata/sf0.001"
 
@@ -43,6 +44,19 @@ def test_fills_lie_on_disk_once(spark):
     spark.catalog.clearCache()
 
 
+def test_shuffles_that_spark_cleaned_up(spark):
+    """Spark may clean up a shuffle before it is deleted by name: that is no error, and the kept table stays."""
+    kept = spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count().persist()
+    assert kept.count() == 7
+    plan = spark._jsparkSession.sharedState().cacheManager().lookupCachedData(kept._jdf).get().cachedRepresentation().cacheBuilder().cachedPlan()
+    gone = list(plan.context().shuffleIds())
+    for i in gone[:1]:
+        spark.sparkContext._jsc.sc().env().mapOutputTracker().unregisterShuffle(i)
+    free_shuffles(kept)
+    assert gone and sum(r["count"] for r in kept.collect()) == 1000
+    kept.unpersist()
+
+
 def test_sums_that_leave_whole_numbers(spark, tmp_path):
     """Stakes that a bigint can't add up are added up as decimals; both are exact."""
     for name in ("orders", "supplier", "customer", "part"):
