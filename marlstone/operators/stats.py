@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import itertools
 import random
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.operators.signals import SIGNALS
+from marlstone.session import held
 
 
 def auc(df: DataFrame, group: list[str], score: str = "score", label: str = "label", weight: str | None = None) -> DataFrame:
@@ -57,25 +63,69 @@ def draws(units: list[tuple[int, str]], rounds: int, seed: int) -> list[tuple[in
     return out
 
 
+def won_within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of one range of scores, by config: twice the pairs that rows of unit u win against rows of unit v, ties half, and each unit's rows (the
+    other unit is null). ``at`` is the config's least score in the range."""
+    if not (batches := list(batches)):
+        return
+    rows = pa.Table.from_batches(batches)
+    for config in pc.unique(rows["config"]).to_pylist():
+        own = rows.filter(pc.equal(rows["config"], config)).combine_chunks()
+        scores, place = np.unique(own["score"].to_numpy(), return_inverse=True)
+        coded = own["unit"].combine_chunks().dictionary_encode()
+        names, unit = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        n, positive = own["n"].to_numpy(), own["label"].to_numpy() == 1
+        order = np.flatnonzero(positive)[np.argsort(unit[positive], kind="stable")]  # of each unit together
+        winners, begins = np.unique(unit[order], return_index=True)
+        out = [(names[u], None, int(x)) for u, x in zip(winners, np.add.reduceat(n[order], begins) if len(order) else [], strict=True)]
+        for i in np.unique(unit[~positive]):
+            against = ~positive & (unit == i)
+            here = np.zeros(len(scores), dtype=np.int64)
+            here[place[against]] = n[against]
+            out.append((None, names[i], int(here.sum())))
+            if len(order):
+                won = np.add.reduceat(n[order] * (2 * np.cumsum(here) - here)[place[order]], begins)  # twice those below, once those equal
+                out += [(names[u], names[i], int(x)) for u, x in zip(winners, won, strict=True)]
+        u, v, x = zip(*out, strict=True)
+        yield pa.record_batch({"config": pa.array([config] * len(out), "string"), "at": pa.array([scores[0]] * len(out), "double"), "u": pa.array(u, "string"), "v": pa.array(v, "string"), "n": pa.array(x, "int64")})
+
+
+def won_across(ranges: pa.Table) -> pa.Table:
+    """One config's ``won_within``, added up along its ranges: rows win twice against all of the ranges below."""
+    place = lambda r: (r[0] != r[0], 0.0 if r[0] != r[0] else r[0])  # noqa: E731 (no number is above all)
+    rows = sorted(zip(*[ranges[c].to_pylist() for c in ("at", "u", "v", "n")], strict=True), key=place)
+    below = dict.fromkeys((v for _, u, v, _ in rows if u is None), 0)
+    won = {(u, v): 0 for u in {u for _, u, v, _ in rows if v is None} for v in below}
+    for _, part in itertools.groupby(rows, key=place):
+        part = list(part)
+        for _, u, v, n in part:
+            if v is None:
+                for other, m in below.items():
+                    won[u, other] += 2 * n * m
+            elif u is not None:
+                won[u, v] += n
+        for _, u, v, n in part:
+            if u is None:
+                below[v] += n
+    us, vs = zip(*won, strict=True) if won else ((), ())
+    return pa.table({"config": pa.array([ranges["config"][0].as_py()] * len(won), "string"), "u": pa.array(us, "string"), "v": pa.array(vs, "string"), "won": pa.array(won.values(), "int64")})
+
+
 def won_by_units(totals: DataFrame) -> DataFrame:
     """``config``, ``u``, ``v``, ``won``: twice the pairs of a positive row of unit u and a negative one of unit v that the positive
-    outranks, ties half. Rows multiply by the negative units, never by each other."""
-    value = F.coalesce("score", F.lit(float("-inf"))).alias("s")
-    counted = lambda label, unit, n: totals.where(F.col("label") == label).groupBy("config", value, F.col("unit").alias(unit)).agg(F.count(F.lit(1)).alias(n))
-    pos, neg = counted(1, "u", "p"), counted(0, "v", "q")
-    each = pos.join(F.broadcast(totals.where("label = 0").select(F.col("unit").alias("v")).distinct()))  # units are few
-    cells = neg.select("config", "v", "s", "q", F.lit(None).alias("u"), F.lit(0).alias("p")).unionByName(each.select("config", "v", "s", F.lit(0).alias("q"), "u", "p"))
-    ahead = Window.partitionBy("config", "v").orderBy("s")
-    upto = F.sum("q").over(ahead.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    here = F.sum("q").over(Window.partitionBy("config", "v", "s"))
-    cells = cells.select("config", "u", "v", "p", (2 * upto - here).alias("below")).where("p > 0")  # twice those below, once those equal
-    return cells.groupBy("config", "u", "v").agg(F.sum(F.col("p") * F.col("below")).alias("won"))
+    outranks, ties half. Rows are counted in sorted ranges of scores, so no row multiplies by units and no task holds a config; equal
+    scores lie in one range, as one row for each unit and label."""
+    value = F.coalesce("score", F.lit(float("-inf"))).alias("score")
+    counted = totals.where("label IN (0, 1)").groupBy("config", value, F.col("label").cast("int").alias("label"), "unit").agg(F.count(F.lit(1)).alias("n"))
+    ranges = counted.repartitionByRange("config", "score").mapInArrow(won_within, "config string, at double, u string, v string, n bigint")
+    return ranges.groupBy("config").applyInArrow(won_across, "config string, u string, v string, won bigint")
 
 
 def bootstrap(totals: DataFrame, rounds: int = 2000, seed: int = 1) -> DataFrame:
     """Paired cluster bootstrap of the gain in AUC over W0: ``config``, ``p05``, ``p50``, ``p95``, ``mean``.
 
-    A round draws units, so its AUC is a sum over pairs of units, counted once; the rows themselves don't multiply by the rounds.
+    A round draws units, so its AUC is a sum over pairs of units, counted once; the rows themselves don't multiply by the rounds. ``totals``
+    is read three times.
     """
     units = [(r["label"], r["unit"]) for r in totals.select("label", "unit").distinct().collect()]
     drawn = totals.sparkSession.createDataFrame(draws(units, rounds, seed), "round int, label int, unit string, times long")
@@ -84,11 +134,11 @@ def bootstrap(totals: DataFrame, rounds: int = 2000, seed: int = 1) -> DataFrame
     won = half.join(side(0, "v", "t"), ["round", "v"]).groupBy("config", "round").agg(F.sum(F.col("won") * F.col("t")).alias("won"))
     rows = totals.groupBy("config", "label", "unit").agg(F.count(F.lit(1)).alias("n"))
     sizes = rows.join(F.broadcast(drawn), ["label", "unit"]).groupBy("config", "round").agg(*[F.sum(F.when(F.col("label") == k, F.col("n") * F.col("times"))).alias(c) for k, c in ((1, "n_pos"), (0, "n_neg"))])
-    per = sizes.join(won, ["config", "round"], "left").select("config", "round", F.try_divide(F.col("won").cast("double"), (2 * F.col("n_pos") * F.col("n_neg")).cast("double")).alias("auc"))
+    per = held(sizes.join(won, ["config", "round"], "left").select("config", "round", F.try_divide(F.col("won").cast("double"), (2 * F.col("n_pos") * F.col("n_neg")).cast("double")).alias("auc")))
     base = per.where("config = 'W0'").select("round", F.col("auc").alias("base"))
     gains = per.join(base, "round").withColumn("gain", F.col("auc") - F.col("base"))
-    held = gains.groupBy("config").agg(F.sort_array(F.collect_list("gain")).alias("g"))
-    return held.select("config", *[quantile(F.col("g"), q).alias(n) for n, q in (("p05", 0.05), ("p50", 0.5), ("p95", 0.95))], (F.aggregate("g", F.lit(0.0), lambda s, x: s + x) / F.size("g")).alias("mean"))
+    ordered = gains.groupBy("config").agg(F.sort_array(F.collect_list("gain")).alias("g"))
+    return ordered.select("config", *[quantile(F.col("g"), q).alias(n) for n, q in (("p05", 0.05), ("p50", 0.5), ("p95", 0.95))], (F.aggregate("g", F.lit(0.0), lambda s, x: s + x) / F.size("g")).alias("mean"))
 
 
 def quantile(ordered: Column, q: float) -> Column:

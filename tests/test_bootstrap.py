@@ -4,6 +4,7 @@ import pytest
 
 from marlstone.operators import stats
 from marlstone.plans import registry
+from marlstone.plans.world import World
 
 
 def plain(rows, rounds, seed):
@@ -36,3 +37,32 @@ def test_query_draws_two_thousand_times(spark, monkeypatch):
     want = plain(rows, 2000, 1)
     assert got.keys() == want.keys() and all(got[c] == pytest.approx(want[c]) for c in want)
     assert want["DBL_S2"] != pytest.approx(plain(rows, 40, 1)["DBL_S2"])
+
+
+def test_won_along_ranges(spark):
+    """Pairs within a range, across ranges and tied, null below all, no number above all, other labels left out; no row for each unit it meets."""
+    rnd = random.Random(7)
+    rows = [(c, rnd.choice([None, -1.0, 0.0, -0.0, float("nan"), *[round(rnd.random(), 2) for _ in range(6)]]), f"u{rnd.randrange(5)}", rnd.choice((0, 1, 1, 0, 2))) for c in ("W0", "X") for _ in range(150)]
+    rows += [("low", -5.0, "u1", 1), ("low", 5.0, "u2", 0)] + [("low", 9.0, "u1", 0)]
+    totals = spark.createDataFrame(rows, "config string, score double, unit string, label int")
+    found = stats.won_by_units(totals)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {tuple(r)[:3]: r["won"] for r in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    place = lambda s: (0, 0.0) if s is None else (2, 0.0) if s != s else (1, s)
+    want = {}
+    for c, s, u, a in rows:
+        for d, t, v, b in rows:
+            if c == d and a == 1 and b == 0:
+                want[c, u, v] = want.get((c, u, v), 0) + (2 if place(s) > place(t) else int(place(s) == place(t)))
+    assert got == want and got["low", "u1", "u2"] == 0
+    assert not any(x in found._jdf.queryExecution().executedPlan().toString() for x in ("Join", "CartesianProduct", "Window"))
+
+
+def test_signals_are_made_once_for_all_weights(spark):
+    """Weight sets are read several times; the eight signals behind them are not made again each time."""
+    plan = registry.config_totals(World(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+    spark.catalog.clearCache()
+    assert "Exchange" not in plan and "parquet" not in plan.lower() and "InMemory" not in plan
